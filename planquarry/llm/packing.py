@@ -90,7 +90,9 @@ class _Stream:
         cuts = pos[best_cuts(pos, kind[pos], self.size)].tolist()
         if last:
             # What is left at the end is cut into lengths that are powers of two, which need no padding.
-            begin, rest = cuts[-2], cuts.pop() - cuts[-2]
+            end = cuts.pop()
+            begin = cuts[-1]
+            rest = end - begin
             while rest:
                 begin, rest = begin + (1 << rest.bit_length() - 1), rest - (1 << rest.bit_length() - 1)
                 cuts.append(begin)
