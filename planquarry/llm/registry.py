@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, chat, packing, sharding
+from . import bpe, chat, licenses, packing, sharding
 
-_MODULES = (packing, bpe, sharding, chat)
+_MODULES = (packing, licenses, bpe, sharding, chat)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()}
