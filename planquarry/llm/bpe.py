@@ -26,7 +26,7 @@ from .common import table
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries that a worker's word table holds before it starts anew.
-TABLE_WORDS = 300_000
+TABLE_WORDS = 500_000
 
 
 def vocabulary(name: str) -> str:
@@ -38,35 +38,102 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _encoder(tokenizer, prefix: str):
+    """Ids of many words, each encoded alone by the library."""
+    return lambda words: [e.ids for e in tokenizer.encode_batch_fast([prefix + w for w in words], add_special_tokens=False)]
+
+
+#: Words of these signs are their own NFC form and are cut alike by both regular-expression libraries.
+_PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+
+
+def _part_encoder(path: str, tokenizer):
+    """As `_encoder`, for a lower-casing tokenizer with word ends: plain words are cut into the pre-tokenizer's parts,
+    each distinct part is encoded once, many in one call, and the ids are split after the pieces that end a word."""
+    import regex
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+    suffix = spec["model"]["end_of_word_suffix"]
+    ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+    for piece, i in spec["model"]["vocab"].items():
+        ends[i] = piece.endswith(suffix)
+    spec |= {"normalizer": None, "added_tokens": []}
+    spec["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+    bare = Tokenizer.from_str(json.dumps(spec))
+    whole = _encoder(tokenizer, "")
+
+    def encode(words: list[str]) -> list[list[int]]:
+        plain = [bool(_PLAIN.fullmatch(w)) and "<|" not in w for w in words]
+        parts = [cut.findall(w.lower()) if p else () for w, p in zip(words, plain)]
+        table = dict.fromkeys(x for ps in parts for x in ps)
+        names = list(table)
+        calls = [" ".join(names[i : i + 500]) for i in range(0, len(names), 500)]
+        ids = [i for e in bare.encode_batch_fast(calls, add_special_tokens=False) for i in e.ids]
+        stops = (np.flatnonzero(ends[np.array(ids, np.int64)]) + 1).tolist() if ids else []
+        if len(stops) != len(names):
+            return whole(words)
+        at = 0
+        for name, stop in zip(names, stops):
+            table[name] = ids[at:stop]
+            at = stop
+        rest = iter(whole([w for w, p in zip(words, plain) if not p]))
+        return [[i for x in ps for i in table[x]] if p else next(rest) for ps, p in zip(parts, plain)]
+
+    return encode
+
+
 class WordTable(dict):
-    """word (UTF-8 bytes) -> row; `ids[row]` are its token ids. A missing word is noted, then encoded in a batch."""
+    """word (UTF-8 bytes) -> row of a table of id lists. A missing word is noted, and encoded with others of its batch."""
 
-    def __init__(self, path: str, prefix: bytes = b""):
+    def __init__(self, path: str, prefix: str = "", parts: bool = False):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.prefix = prefix
+        self.encode = _part_encoder(path, self.tokenizer) if parts else _encoder(self.tokenizer, prefix)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.clear()
         self.pending: list[bytes] = []
-        self.ids: list[list[int]] = []
+        self.rows, self.used = 0, 0
+        self.starts, self.lengths = np.empty(1024, np.int64), np.empty(1024, np.int64)
+        self.flat = np.empty(4096, np.int32)
 
     def __missing__(self, word: bytes) -> int:
-        row = self[word] = len(self.ids) + len(self.pending)
+        row = self[word] = self.rows + len(self.pending)
         self.pending.append(word)
         return row
 
-    def encode_pending(self) -> None:
-        if self.pending:
-            texts = [(self.prefix + w).decode("utf-8") for w in self.pending]
-            self.ids.extend(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
-            self.pending = []
-
-    def make_room(self) -> None:
+    def _encode_pending(self) -> None:
+        found = self.encode([w.decode("utf-8") for w in self.pending])
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        end, size = self.rows + len(found), int(lengths.sum())
+        while end > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
+        while self.used + size > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.lengths[self.rows : end] = lengths
+        self.starts[self.rows : end] = self.used + np.cumsum(lengths) - lengths
+        self.flat[self.used : self.used + size] = np.fromiter((i for x in found for i in x), np.int32, size)
+        self.rows, self.used, self.pending = end, self.used + size, []
+
+    def lookup(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids end to end, and how many each has."""
         if len(self) > TABLE_WORDS:
-            self.clear()
-            self.ids = []
+            self._empty()
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.pending:
+            self._encode_pending()
+        lengths = self.lengths[rows]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.arange(total) + np.repeat(self.starts[rows] - ends + lengths, lengths)], lengths
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -75,45 +142,44 @@ class WordTable(dict):
 _TABLES: dict = {}
 
 
-def word_table(path: str, prefix: bytes = b"") -> WordTable:
-    if (path, prefix) not in _TABLES:
-        _TABLES[path, prefix] = WordTable(path, prefix)
-    return _TABLES[path, prefix]
+def word_table(path: str, prefix: str = "", parts: bool = False) -> WordTable:
+    if (path, prefix, parts) not in _TABLES:
+        _TABLES[path, prefix, parts] = WordTable(path, prefix, parts)
+    return _TABLES[path, prefix, parts]
 
 
 #: A cut before a space is a word boundary unless white space stands on both sides of it.
 _WIDE_GAP = re.compile(r"\s \s|\s $|^ $")
 
 
-def encode_byte_level(texts: list[str], path: str, per: int = 64) -> Iterator[list[int]]:
+def encode_byte_level(texts: list[str], path: str, per: int = 64) -> Iterator[np.ndarray]:
     """Ids of each text for a byte-level BPE whose words take one leading space.
 
     Words are the text's parts between single spaces, each with the space before it. Texts with
     wide gaps (white space on both sides of a space) or with special strings go to the library whole.
     """
-    spaced, first = word_table(path, b" "), word_table(path)
+    spaced, first = word_table(path, " "), word_table(path)
     special = [t.content for t in first.tokenizer.get_added_tokens_decoder().values()]
     for at in range(0, len(texts), per):
-        rows: list = []
-        for text in texts[at : at + per]:
+        heads, words, counts, wholes = [], [], [], {}
+        for k, text in enumerate(texts[at : at + per]):
             if _WIDE_GAP.search(text) or any(s in text for s in special):
-                rows.append(first.whole(text))
-                continue
-            head, *rest = text.encode("utf-8").split(b" ")
-            rows.append((first[head], list(map(spaced.__getitem__, rest))))
-        first.encode_pending()
-        spaced.encode_pending()
-        ids = spaced.ids
-        for row in rows:
-            if isinstance(row, list):
-                yield row
+                wholes[k] = np.array(first.whole(text), np.int32)
+                parts = [b""]
+            else:
+                parts = text.encode("utf-8").split(b" ")
+            heads.append(parts[0])
+            words += parts[1:]
+            counts.append(len(parts) - 1)
+        head_ids, head_lengths = first.lookup(heads)
+        ids, lengths = spaced.lookup(words)
+        ends = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(counts))]
+        head_ends = np.append(0, np.cumsum(head_lengths))
+        for k in range(len(heads)):
+            if k in wholes:
+                yield wholes[k]
             else:
-                out = list(first.ids[row[0]])
-                for r in row[1]:
-                    out += ids[r]
-                yield out
-        first.make_room()
-        spaced.make_room()
+                yield np.concatenate([head_ids[head_ends[k] : head_ends[k + 1]], ids[ends[k] : ends[k + 1]]])
 
 
 def pieces(path: str) -> list[bytes]:
@@ -165,7 +231,8 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", row_id: str = "do
         signs = [b"%d," % i for i in range(len(look))]
         for b in batches:
             n, ids_sha, text_sha = [], [], []
-            for ids in encode_byte_level(b.column(1).fill_null("").to_pylist(), path):
+            for found in encode_byte_level(b.column(1).fill_null("").to_pylist(), path):
+                ids = found.tolist()
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(b"".join(map(signs.__getitem__, ids))[:-1]).hexdigest())
                 decoded = b"".join(map(look.__getitem__, ids)).decode("utf-8", "replace")

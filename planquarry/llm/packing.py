@@ -15,9 +15,7 @@ The rest at a partition's end is cut into lengths that are powers of two.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections import deque
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +29,8 @@ SENTENCE_PENALTY = 4
 INSIDE_PENALTY = 16
 #: Ids that are gathered before windows are cut.
 BLOCK = 400_000
+#: Documents that are looked up in the word table at once.
+SLICE = 512
 
 
 def best_cuts(pos: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
@@ -64,20 +64,23 @@ class _Stream:
 
     def __init__(self, first_sequence: int, size: int, ends: np.ndarray):
         self.sequence, self.size, self.ends = first_sequence, size, ends
-        self.ids = np.empty(0, np.int32)
+        self.new: list[np.ndarray] = []
+        self.waiting = 0
         self.docs: list[tuple] = []  # (row id, ids before the part held, ids held, all ids)
 
     def add(self, ids: np.ndarray, docs: list[tuple]) -> None:
-        self.ids = np.concatenate([self.ids, ids])
+        self.new.append(ids)
+        self.waiting += len(ids)
         self.docs += docs
 
     def cut(self, last: bool) -> list[tuple]:
-        if not len(self.ids):
+        if not self.waiting:
             return []
-        n = len(self.ids)
+        ids = np.concatenate(self.new)
+        n = len(ids)
         held = np.fromiter((d[2] for d in self.docs), np.int64, len(self.docs))
         kind = np.full(n + 1, 127, np.uint8)
-        inner = np.flatnonzero(self.ends[self.ids]) + 1
+        inner = np.flatnonzero(self.ends[ids]) + 1
         kind[inner] = SENTENCE_PENALTY
         kind[np.cumsum(held)] = 0
         kind[0] = 0
@@ -100,7 +103,7 @@ class _Stream:
             cuts.pop()
         else:
             return []
-        out, d, inside, raw = [], 0, 0, self.ids.astype("<u4")
+        out, d, inside, raw = [], 0, 0, ids.astype("<u4")
         for begin, end in zip(cuts, cuts[1:]):
             at = begin
             while at < end:
@@ -116,7 +119,8 @@ class _Stream:
         if rest and inside:
             row, before, here, total = rest[0]
             rest[0] = (row, before + inside, here - inside, total)
-        self.ids, self.docs = self.ids[cuts[-1] :], rest
+        self.new, self.docs = [ids[cuts[-1] :]], rest
+        self.waiting = n - cuts[-1]
         return out
 
 
@@ -139,7 +143,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = 1, text: st
     def run(batches):
         from pyspark import TaskContext
 
-        words = word_table(path)
+        words = word_table(path, parts=True)
         stream = _Stream(TaskContext.get().partitionId() << 33, size, sentence_ends(path))
         names = [row_id, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -147,27 +151,26 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = 1, text: st
             columns = list(zip(*rows)) or [()] * 7
             return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])], names)
 
-        ids, new, kind = array("i"), [], pa.int64()
+        kind = pa.int64()
         for b in batches:
             kind = b.schema.field(0).type
             rows, texts = b.column(0).to_pylist(), b.column(1).fill_null("")
-            for at in range(0, len(rows), 64):
-                found = [list(map(words.__getitem__, t.encode().split())) for t in texts[at : at + 64].to_pylist()]
-                words.encode_pending()
-                look = words.ids
-                for row, found_words in zip(rows[at : at + 64], found):
-                    before = len(ids)
-                    for w in found_words:
-                        ids.extend(look[w])
-                    ids.append(end_id)
-                    n = len(ids) - before
-                    new.append((row, 0, n, n))
-                words.make_room()
-                if len(ids) >= BLOCK:
-                    stream.add(np.frombuffer(ids, np.int32).copy(), new)
-                    ids, new = array("i"), []
+            for at in range(0, len(rows), SLICE):
+                found, counts = [], []
+                for t in texts[at : at + SLICE].to_pylist():
+                    raw = t.encode()
+                    # The tokenizer lower-cases; special strings are told apart by case.
+                    parts = (raw if b"<|" in raw else raw.lower()).split()
+                    found += parts
+                    counts.append(len(parts))
+                ids, lengths = words.lookup(found)
+                ends = np.append(0, np.cumsum(lengths))[np.cumsum(counts)]
+                # The end id goes after each document's ids.
+                ids = np.insert(ids, ends, end_id)
+                totals = np.diff(ends, prepend=0) + 1
+                stream.add(ids, [(row, 0, n, n) for row, n in zip(rows[at : at + SLICE], totals.tolist())])
+                if stream.waiting >= BLOCK:
                     yield as_batch(stream.cut(False), kind)
-        stream.add(np.frombuffer(ids, np.int32).copy() if ids else np.empty(0, np.int32), new)
         yield as_batch(stream.cut(True), kind)
 
     kind = dict(docs.dtypes)[row_id]
