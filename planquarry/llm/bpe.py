@@ -16,6 +16,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +56,7 @@ def _part_encoder(path: str, tokenizer):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+    cut = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
     suffix = spec["model"]["end_of_word_suffix"]
     ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
     for piece, i in spec["model"]["vocab"].items():
@@ -66,9 +67,23 @@ def _part_encoder(path: str, tokenizer):
     whole = _encoder(tokenizer, "")
 
     def encode(words: list[str]) -> list[list[int]]:
-        plain = [bool(_PLAIN.fullmatch(w)) and "<|" not in w for w in words]
-        parts = [cut.findall(w.lower()) if p else () for w, p in zip(words, plain)]
-        table = dict.fromkeys(x for ps in parts for x in ps)
+        # Most words are letters only and so are one part.
+        found: list = [None] * len(words)
+        table: dict = {}
+        cut_up, rest = [], []
+        for k, w in enumerate(words):
+            if not _PLAIN.fullmatch(w) or "<|" in w:
+                rest.append(k)
+                continue
+            w = w.lower()
+            if w.isalpha():
+                found[k] = w
+                table[w] = ()
+            else:
+                parts = cut(w)
+                cut_up.append((k, parts))
+                for x in parts:
+                    table[x] = ()
         names = list(table)
         calls = [" ".join(names[i : i + 500]) for i in range(0, len(names), 500)]
         ids = [i for e in bare.encode_batch_fast(calls, add_special_tokens=False) for i in e.ids]
@@ -79,8 +94,12 @@ def _part_encoder(path: str, tokenizer):
         for name, stop in zip(names, stops):
             table[name] = ids[at:stop]
             at = stop
-        rest = iter(whole([w for w, p in zip(words, plain) if not p]))
-        return [[i for x in ps for i in table[x]] if p else next(rest) for ps, p in zip(parts, plain)]
+        found = [w and table[w] for w in found]
+        for k, parts in cut_up:
+            found[k] = [i for x in parts for i in table[x]]
+        for k, one in zip(rest, whole([words[k] for k in rest])):
+            found[k] = one
+        return found
 
     return encode
 
@@ -120,7 +139,7 @@ class WordTable(dict):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         self.lengths[self.rows : end] = lengths
         self.starts[self.rows : end] = self.used + np.cumsum(lengths) - lengths
-        self.flat[self.used : self.used + size] = np.fromiter((i for x in found for i in x), np.int32, size)
+        self.flat[self.used : self.used + size] = np.fromiter(chain.from_iterable(found), np.int32, size)
         self.rows, self.used, self.pending = end, self.used + size, []
 
     def lookup(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

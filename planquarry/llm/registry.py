@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, chat, fingerprints, licenses, packing, quality, sharding
+from . import bpe, chat, fingerprints, licenses, packing, quality, sharding, vectors
 
-_MODULES = (packing, licenses, quality, bpe, sharding, fingerprints, chat)
+_MODULES = (packing, vectors, licenses, quality, bpe, sharding, fingerprints, chat)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()}
