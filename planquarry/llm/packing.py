@@ -126,7 +126,7 @@ class _Stream:
 
 def sentence_ends(path: str) -> np.ndarray:
     """Per id: does its piece end a sentence? From the vocabulary's pieces; id 1 ends a document."""
-    vocab = word_table(path).tokenizer.get_vocab(with_added_tokens=True)
+    vocab = word_table(path, parts=True).tokenizer.get_vocab(with_added_tokens=True)
     out = np.zeros(max(vocab.values()) + 1, bool)
     for piece, i in vocab.items():
         out[i] = piece.removesuffix("</w>")[-1:] in (".", "!", "?")
