@@ -207,6 +207,20 @@ def score(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:
     return docs.select(*names, F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(run, f"{schema}, score double")
 
 
+def keep_good(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of docs, all columns, whose whole text scores at least `threshold`."""
+    text = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            good = np.empty(b.num_rows, bool)
+            for at, data, offsets in blocks(b, text):
+                good[at : at + len(offsets) - 1] = machine.score(*_runs(data, offsets)) >= threshold
+            yield b.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold(row_id: str = "doc_id"):
     """crc32 of the id as text, mod 4: rows with 2 are held out."""
     return F.crc32(F.col(row_id).cast("string").cast("binary")) % 4 == 2
