@@ -22,9 +22,9 @@ from .common import components, table, written
 COSINE = 0.93
 CODE = 160
 #: Cap height in standard deviations of a random direction's inner product.
-CAP = 2.9
-LEAST = 24
-TILE = 384
+CAP = 3.0
+LEAST = 16
+TILE = 128
 
 
 @functools.lru_cache(maxsize=8)
@@ -107,14 +107,11 @@ def _compare(left: dict, right: dict | None, here: int, cosine: float):
     return ids[hit], weight[hit].astype(np.int64), ids[roots[hit]]
 
 
-def _tile(rows: list[dict]) -> dict:
-    x = np.array([r["x"] for r in rows], np.float64)
-    return {
-        "id": np.array([r["id"] for r in rows], np.int64),
-        "w": np.array([r["w"] for r in rows], np.float64),
-        "x": x / np.linalg.norm(x, axis=1)[:, None],
-        "filters": [np.array(r["filters"], np.int64) for r in rows],
-    }
+def _tile(rows: pa.ListScalar) -> dict:
+    """A tile's rows (id, w, unit vector, filters; the last two as raw bytes) as arrays."""
+    values = rows.values
+    x, filters = ([np.frombuffer(v.as_buffer(), t) for v in values.field(k)] for k, t in (("x", np.float64), ("filters", np.int32)))
+    return {"id": values.field("id").to_numpy(), "w": values.field("w").to_numpy().astype(np.float64), "x": np.stack(x), "filters": filters}
 
 
 def usable(column: str = "embedding"):
@@ -141,22 +138,26 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, code: int = CODE, cap:
         for b in batches:
             dims = b.column(1).to_pylist()
             x = b.column(2).to_pylist()
-            filters: list = [None] * len(x)
+            filters, raw, units = ([None] * len(x) for _ in range(3))
             for dim in set(dims):
                 at = [k for k, d in enumerate(dims) if d == dim]
                 unit = np.array([x[k] for k in at], np.float64)
                 unit /= np.linalg.norm(unit, axis=1)[:, None]
-                for k, f in zip(at, decode(unit, code, cap)):
-                    filters[k] = f.tolist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(filters, pa.list_(pa.int64()))], [*b.schema.names, "filters"])
-
-    kind = dict(rows.dtypes)["embedding"]
-    coded = written(firsts.mapInArrow(decoded, f"label {label_type}, dim int, embedding {kind}, id long, w long, filters array<bigint>"), "vectors")
+                for k, f, u in zip(at, decode(unit, code, cap), unit):
+                    filters[k], raw[k], units[k] = f, f.astype(np.int32).tobytes(), u.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), b.column(3), b.column(4), pa.array(units, pa.binary()), pa.array(raw, pa.binary()), pa.array(filters, pa.list_(pa.int32()))],
+                ["label", "dim", "id", "w", "x", "raw", "filters"],
+            )
+
+    coded = written(
+        firsts.mapInArrow(decoded, f"label {label_type}, dim int, id long, w long, x binary, raw binary, filters array<int>"), "vectors"
+    )
     key = ["label", "dim", "filter"]
     spread = coded.select("label", "dim", F.explode("filters").alias("filter"), "id")
     counts = spread.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
     member = spread.join(counts, key).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).select(*key, "tiles", "tile", "id")
-    body = coded.select("id", F.struct("id", "w", F.col("embedding").alias("x"), "filters").alias("r"))
+    body = coded.select("id", F.struct("id", "w", "x", F.col("raw").alias("filters")).alias("r"))
     tiles = written(
         member.join(body, "id").groupBy(*key, "tiles", "tile").agg(F.collect_list("r").alias("rows")).select("label", "dim", "filter", "tiles", "tile", "rows"), "vectors"
     )
@@ -169,8 +170,8 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, code: int = CODE, cap:
     def links(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                others = batch.column(2)[k].as_py()
-                ids, weight, root = _compare(_tile(batch.column(1)[k].as_py()), _tile(others) if others else None, batch.column(0)[k].as_py(), cosine)
+                others = batch.column(2)[k]
+                ids, weight, root = _compare(_tile(batch.column(1)[k]), _tile(others) if others.is_valid else None, batch.column(0)[k].as_py(), cosine)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(weight, pa.int64()), pa.array(root, pa.int64())], ["id", "links", "root"])
 
     found = written(work.mapInArrow(links, "id long, links long, root long"), "vectors")
