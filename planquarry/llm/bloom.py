@@ -30,24 +30,34 @@ def bloom_filter(tokens: DataFrame, column: str, size: int, most_bits: int = BLO
     segment = min(bits, 20)
 
     def spots(batches):
-        for b in batches:
-            a, c = _spots(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U), bits)
+        held, size = [], 0
+
+        def flush():
+            a, c = _spots(np.concatenate(held).view(_U), bits)
             spot = np.unique(np.concatenate([a, c]))
-            cut = np.flatnonzero(np.append(True, np.diff(spot >> segment) != 0)) if len(spot) else np.empty(0, np.int64)
-            seg, parts = [], []
-            for i, j in zip(cut, np.append(cut[1:], len(spot))):
-                own = np.zeros(1 << (segment - 3), np.uint8)
-                low = spot[i:j] & ((1 << segment) - 1)
-                np.bitwise_or.at(own, low >> 3, (1 << (low & 7)).astype(np.uint8))
-                seg.append(int(spot[i] >> segment))
-                parts.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(seg, pa.int32()), pa.array(parts, pa.binary())], ["seg", "part"])
+            part = spot >> segment
+            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            low = (spot & ((1 << segment) - 1)).astype(np.uint32)
+            ends = np.append(cut[1:], len(spot))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(part[cut].astype(np.int32)), pa.array([low[i:j].tobytes() for i, j in zip(cut, ends)], pa.binary())], ["seg", "part"]
+            )
+
+        for b in batches:
+            held.append(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            size += len(held[-1])
+            if size > 1_000_000:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
 
     def joined(key, rows):
-        own = np.zeros(1 << (segment - 3), np.uint8)
+        on = np.zeros(1 << segment, np.uint8)
         for part in rows.column(1):
-            own |= np.frombuffer(part.as_buffer(), np.uint8)
-        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["seg", "part"])
+            on[np.frombuffer(part.as_buffer(), np.uint32)] = 1
+        own = np.packbits(on, bitorder="little").tobytes()
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([own], pa.binary())], ["seg", "part"])
 
     out = np.zeros(1 << (bits - 3), np.uint8)
     rows = tokens.select(F.col(column)).mapInArrow(spots, "seg int, part binary").groupBy("seg").applyInArrow(joined, "seg int, part binary")
