@@ -77,3 +77,30 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots)
+
+
+def roots(pointers: DataFrame) -> DataFrame:
+    """(node, comp) of a forest of pointers (a, b): each a points at one b, never in a circle. Pointer doubling."""
+    p = written(pointers.select("a", "b"), "roots")
+    while True:
+        further = p.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        p = written(p.join(further, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")), "roots")
+        if not p.where("moved").limit(1).collect():
+            break
+        p = p.select("a", "b")
+    tops = p.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
+    return p.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(tops)
+
+
+def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, comp) after more links (a, b) between nodes; nodes in no component stand for themselves."""
+    of = lambda end: known.select(F.col("node").alias(end), F.col("comp").alias(f"comp_{end}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")
+    )
+    joined = components(between)
+    moved = written(joined.withColumnRenamed("node", "old").withColumnRenamed("comp", "new"), "merged")
+    kept = known.join(moved, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    # Nodes that were in no component and now are.
+    fresh = moved.join(known.select(F.col("node").alias("old")), "old", "left_anti").select(F.col("old").alias("node"), F.col("new").alias("comp"))
+    return written(kept.unionByName(fresh), "merged")

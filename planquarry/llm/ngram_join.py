@@ -8,13 +8,14 @@ texts alike, hence costs time and loses nothing.
 
 1. Counts: each task sends its distinct shingles with their counts to partitions by hash.
 2. Postings: per text, its prefix tokens that are not unique.
-3. Stars: each node is verified against the node that is first in most of its (token, size band) buckets.
+3. Stars: each node is verified against the hub of most of its (token, size band) buckets; a bucket's hub is the
+   node with the smallest share of tokens of its own.
 4. Tiles: buckets whose nodes are still in several components are cut into size-banded tiles; within tiles and
    between tiles of neighbouring bands, bitmap signatures bound every overlap from above by bit counts, and
    what is left is verified by exact intersection of sorted arrays.
 
 Components need no more links than that: two nodes in one component already are not compared again, so groups
-of thousands of copies cost one comparison per member.
+of thousands of copies cost about one comparison per member.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import bloom_filter, in_filter
-from .common import components, parts_for, table, written
+from .common import merged, parts_for, roots, table, written
 from .textblocks import blocks, mix, shingle_sets
 
 SHARE = 75  # percent
@@ -112,7 +113,7 @@ def _counted(docs: DataFrame, words: int, parts: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, words: int, several, frequent) -> DataFrame:
-    """(token, key, n): of each set's prefix in the order (unique, others, frequent; hash), the tokens not unique."""
+    """(token, key, n, central): of each set's prefix in the order (unique, others, frequent; hash), the tokens not unique."""
     spark = docs.sparkSession
     filters = spark.sparkContext.broadcast((several, frequent))
 
@@ -144,9 +145,13 @@ def _postings(docs: DataFrame, words: int, several, frequent) -> DataFrame:
                 own = np.zeros(len(n), bool)
                 own[owner] = True
                 some, d = some[own[d]], d[own[d]]
-                yield pa.RecordBatch.from_arrays([_signed(low[some]), _signed(key[d]), pa.array(n[d], pa.int64())], ["token", "key", "n"])
+                # Central sets have few tokens of their own.
+                central = 1_000_000 * np.maximum(left, 0) // np.maximum(prefix, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(low[some]), _signed(key[d]), pa.array(n[d], pa.int64()), pa.array(central[d], pa.int64())], ["token", "key", "n", "central"]
+                )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, key long, n long")
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, key long, n long, central long")
 
 
 def _sets(docs: DataFrame, words: int, owners) -> DataFrame:
@@ -174,8 +179,8 @@ def _sets(docs: DataFrame, words: int, owners) -> DataFrame:
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
-    """Two to four bits per token: 2**k bits, bit (hash mod 2**k) set for each token."""
-    bits = 1 << max(6, int(2 * len(tokens) - 1).bit_length())
+    """Four to eight bits per token: 2**k bits, bit (hash mod 2**k) set for each token."""
+    bits = 1 << max(6, int(4 * len(tokens) - 1).bit_length())
     on = np.zeros(bits, np.uint8)
     on[(tokens >> _U(16)).astype(np.int64) & (bits - 1)] = 1
     return np.packbits(on, bitorder="little").tobytes()
@@ -211,7 +216,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _bounded(tiles: DataFrame, best: bool) -> DataFrame:
     """Pairs of nodes of tile pairs (rows, others; others null: within rows) of unequal components that bit counts don't
-    rule out; `best`: of each two components only the pair with the highest bound."""
+    rule out; `best`: of each component only the pair with the highest bound."""
 
     def run(batches):
         for batch in batches:
@@ -238,8 +243,8 @@ def _bounded(tiles: DataFrame, best: bool) -> DataFrame:
                     u, v, shared = u[fine], v[fine], shared[fine]
                     if best and len(u):
                         order = np.argsort(-shared, kind="stable")
-                        ends = np.stack([np.minimum(c[u], d[v]), np.maximum(c[u], d[v])])[:, order]
-                        chosen = order[np.unique(ends, axis=1, return_index=True)[1]]
+                        ends = np.stack([c[u], d[v]], axis=1)[order].ravel()
+                        chosen = order[np.unique(np.unique(ends, return_index=True)[1] // 2)]
                         u, v = u[chosen], v[chosen]
                 a = np.array([rows[i]["key"] for i in u], np.int64)
                 b = np.array([others[i]["key"] for i in v], np.int64)
@@ -290,21 +295,22 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, text: str = "text",
     often = counted.where(F.col("n") >= FREQUENT)
     filters = bloom_filter(counted, "token", several), bloom_filter(often, "token", often.count())
     postings = written(_postings(docs, words, *filters).dropDuplicates(["token", "key"]), "ngram")
+    banded = postings.withColumn("band", _band())
     stars = (
-        postings.withColumn("band", _band())
-        .groupBy("token", "band")
-        .agg(F.min(F.struct("n", "key")).alias("first"), F.count(F.lit(1)).alias("rows"))
+        banded.groupBy("token", "band")
+        .agg(F.max(F.struct("central", "key", "n")).alias("hub"), F.count(F.lit(1)).alias("rows"))
         .where("rows > 1")
+        .select("token", "band", "hub")
     )
+    # A node points at one hub of higher (central, key), so pointers make a forest.
     best = (
-        postings.withColumn("band", _band())
-        .join(stars, ["token", "band"])
-        .where("key <> first.key AND 100 * first.n >= 75 * n")
-        .groupBy("key", F.col("first.key").alias("rep"))
+        banded.join(stars, ["token", "band"])
+        .where(f"key <> hub.key AND 100 * least(n, hub.n) >= {SHARE} * greatest(n, hub.n)")
+        .groupBy("key", "hub")
         .agg(F.count(F.lit(1)).alias("shared"))
         .groupBy("key")
-        .agg(F.max_by("rep", F.struct("shared", "rep")).alias("rep"))
-        .select(F.col("key").alias("a"), F.col("rep").alias("b"))
+        .agg(F.max_by("hub.key", F.struct("shared", "hub")).alias("b"))
+        .select(F.col("key").alias("a"), "b")
     )
     # Nodes of tokens with one node only have no partner; the others' texts are read again for their sets.
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token")
@@ -313,12 +319,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, text: str = "text",
     wanted = written(wanted, "ngram")
     sets = written(_sets(docs, words, bloom_filter(wanted, "owner", wanted.count())), "ngram")
     links = written(_verified(best, sets), "ngram")
-    known = components(links)
+    known = roots(links)
     bits = sets.select("key", "bitmap").dropDuplicates(["key"])
     # First the likeliest pair of each two components, which joins what belongs together; then all pairs left.
     for best_only in (True, False):
-        more = written(_verified(written(_bounded(_tiles(postings, known, bits), best_only), "ngram"), sets), "ngram")
-        known = components(known.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
+        more = _verified(written(_bounded(_tiles(postings, known, bits), best_only), "ngram"), sets)
+        known = merged(known, more)
     comps = nodes.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     comps = written(comps, "ngram")
     smallest = comps.groupBy("comp").agg(F.min("owner").alias("component_id"))

@@ -22,8 +22,8 @@ from .common import components, table, written
 COSINE = 0.93
 CODE = 160
 #: Cap height in standard deviations of a random direction's inner product.
-CAP = 3.0
-LEAST = 16
+CAP = 3.1
+LEAST = 12
 TILE = 128
 
 
@@ -107,11 +107,12 @@ def _compare(left: dict, right: dict | None, here: int, cosine: float):
     return ids[hit], weight[hit].astype(np.int64), ids[roots[hit]]
 
 
-def _tile(rows: pa.ListScalar) -> dict:
-    """A tile's rows (id, w, unit vector, filters; the last two as raw bytes) as arrays."""
+def _tile(rows: pa.ListScalar, width) -> dict:
+    """A tile's rows (id, w, vector, filters; the last two as raw bytes) as arrays, vectors in double precision and of length 1."""
     values = rows.values
-    x, filters = ([np.frombuffer(v.as_buffer(), t) for v in values.field(k)] for k, t in (("x", np.float64), ("filters", np.int32)))
-    return {"id": values.field("id").to_numpy(), "w": values.field("w").to_numpy().astype(np.float64), "x": np.stack(x), "filters": filters}
+    x, filters = ([np.frombuffer(v.as_buffer(), t) for v in values.field(k)] for k, t in (("x", width), ("filters", np.int32)))
+    x = np.stack(x).astype(np.float64)
+    return {"id": values.field("id").to_numpy(), "w": values.field("w").to_numpy().astype(np.float64), "x": x / np.linalg.norm(x, axis=1)[:, None], "filters": filters}
 
 
 def usable(column: str = "embedding"):
@@ -133,20 +134,21 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, code: int = CODE, cap:
         good.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("w")), "vectors"
     )
     label_type = dict(rows.dtypes)["label"]
+    width = np.float32 if dict(rows.dtypes)["embedding"] == "array<float>" else np.float64
 
     def decoded(batches):
         for b in batches:
             dims = b.column(1).to_pylist()
             x = b.column(2).to_pylist()
-            filters, raw, units = ([None] * len(x) for _ in range(3))
+            filters, raw, vectors = ([None] * len(x) for _ in range(3))
             for dim in set(dims):
                 at = [k for k, d in enumerate(dims) if d == dim]
                 unit = np.array([x[k] for k in at], np.float64)
                 unit /= np.linalg.norm(unit, axis=1)[:, None]
-                for k, f, u in zip(at, decode(unit, code, cap), unit):
-                    filters[k], raw[k], units[k] = f, f.astype(np.int32).tobytes(), u.tobytes()
+                for k, f in zip(at, decode(unit, code, cap)):
+                    filters[k], raw[k], vectors[k] = f, f.astype(np.int32).tobytes(), np.array(x[k], width).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(3), b.column(4), pa.array(units, pa.binary()), pa.array(raw, pa.binary()), pa.array(filters, pa.list_(pa.int32()))],
+                [b.column(0), b.column(1), b.column(3), b.column(4), pa.array(vectors, pa.binary()), pa.array(raw, pa.binary()), pa.array(filters, pa.list_(pa.int32()))],
                 ["label", "dim", "id", "w", "x", "raw", "filters"],
             )
 
@@ -171,7 +173,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, code: int = CODE, cap:
         for batch in batches:
             for k in range(batch.num_rows):
                 others = batch.column(2)[k]
-                ids, weight, root = _compare(_tile(batch.column(1)[k]), _tile(others) if others.is_valid else None, batch.column(0)[k].as_py(), cosine)
+                ids, weight, root = _compare(_tile(batch.column(1)[k], width), _tile(others, width) if others.is_valid else None, batch.column(0)[k].as_py(), cosine)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(weight, pa.int64()), pa.array(root, pa.int64())], ["id", "links", "root"])
 
     found = written(work.mapInArrow(links, "id long, links long, root long"), "vectors")
