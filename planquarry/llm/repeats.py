@@ -33,7 +33,11 @@ GRAM = 20
 #: An anchor of at least this many segments is split by a second anchor.
 FREQUENT = 200
 #: Segments that a task holds before it sends them on.
-HELD = 1_000_000
+HELD = 300_000
+#: Bytes that one suffix array covers, unless one anchor has more.
+GROUP = 1 << 17
+#: Bytes of text whose anchors are found at once.
+BLOCK = 1 << 19
 _U = np.uint64
 _MAX = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -161,7 +165,7 @@ def _segments(batches, length, several, frequent):
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
         marks = (b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) & 0xFFFFFFFF).astype(np.uint32)
-        for at, data, offsets in blocks(b):
+        for at, data, offsets in blocks(b, 1, BLOCK):
             s = Segments(data, offsets, length)
             keys = s.keys()
             if len(keys):
@@ -189,13 +193,13 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, reach: int) -> np.ndarray:
     """Suffix array of strings laid end to end (bytes + 1, each closed by a 0 at `ends`): suffixes stop at their 0;
     equal ones are ordered by place. Prefix doubling until `reach` bytes are compared."""
     n = len(text)
-    close = np.repeat(ends, np.diff(np.append(-1, ends)))  # where the suffix at each place stops
     place = np.arange(n)
+    left = np.repeat(ends, np.diff(np.append(-1, ends))) - place  # how far the suffix at each place goes on
     rank = np.zeros(n, np.int64)
-    for k in range(6):  # six 9-bit symbols at first
-        ahead = place + k
-        rank = rank << 9 | np.where(ahead <= close, text[np.minimum(ahead, n - 1)], 0)
-    compared = 6
+    for k in range(7):  # seven 9-bit symbols at first
+        rank <<= 9
+        rank[: n - k] |= np.where(left[: n - k] >= k, text[k:], 0)
+    compared = 7
     while True:
         order = np.argsort(rank, kind="stable")
         ranked = rank[order]
@@ -205,8 +209,8 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, reach: int) -> np.ndarray:
             return order
         dense = np.empty(n, np.int64)
         dense[order] = np.cumsum(new)
-        ahead = place + compared
-        rank = dense * (n + 1) + np.where(ahead <= close, dense[np.minimum(ahead, n - 1)], 0)
+        rank = dense * (n + 1)
+        rank[: n - compared] += np.where(left[: n - compared] >= compared, dense[compared:], 0)
         compared *= 2
 
 
@@ -214,23 +218,27 @@ def long_prefixes(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.n
     """(suffix array, border[i]: do suffixes i-1 and i share fewer than `length` bytes?), by interval expansion on the
     Burrows-Wheeler transform. Suffixes that stop before `length` have borders on both sides."""
     n = len(text)
-    order = suffix_order(text, ends, int(np.diff(np.append(-1, ends)).max()))
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    # Borders under `length` need no order beyond it.
+    order = suffix_order(text, ends, length)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     # Backward extension maps a suffix to the one a byte longer; `after` is its inverse: the suffix without the first byte.
     after = place[np.minimum(order + 1, n - 1)]
     first = text[order]
     border = np.ones(n, bool)
     border[1:] = (first[1:] != first[:-1]) | (first[1:] == 0)
     open_ = np.flatnonzero(~border)
+    here, before = after[open_], after[open_ - 1]
     for _ in range(1, length):
         if not len(open_):
             break
         # Intervals of the strings so far; a border between two suffixes without their first bytes carries over.
-        interval = np.cumsum(border)
-        settled = interval[after[open_]] != interval[after[open_ - 1]]
-        border[open_[settled]] = True
-        open_ = open_[~settled]
+        interval = np.cumsum(border, dtype=np.int32)
+        settled = interval[here] != interval[before]
+        if settled.any():
+            border[open_[settled]] = True
+            kept = ~settled
+            open_, here, before = open_[kept], here[kept], before[kept]
     return order, border
 
 
@@ -272,7 +280,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def anchors(batches):
         held, size = [], 0
         for b in batches:
-            for _, data, offsets in blocks(b):
+            for _, data, offsets in blocks(b, 1, BLOCK):
                 held.append(Segments(data, offsets, length).keys())
                 size += len(held[-1])
                 if size > HELD:
@@ -371,14 +379,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         sizes = c["span"].astype(np.int64) + length
         joined = b"".join(rows.column("body").to_pylist())
         at = np.append(0, np.cumsum(sizes))
-        # Segments of one anchor stay together; a task's segments are expanded in groups of about 1 MB.
+        # Segments of one anchor stay together; a task's segments are expanded in groups of about GROUP bytes.
         order = np.argsort(c["key"], kind="stable")
         keys = c["key"][order]
         begins = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
         filled = np.append(0, np.cumsum(sizes[order]))
         out, i = [], 0
         while i < len(begins) - 1:
-            j = max(i + 1, int(np.searchsorted(filled[begins], filled[begins[i]] + (1 << 20), "right")) - 1)
+            j = max(i + 1, int(np.searchsorted(filled[begins], filled[begins[i]] + GROUP, "right")) - 1)
             own = order[begins[i] : begins[j]]
             i = j
             if len(own) < 2:
