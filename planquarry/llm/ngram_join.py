@@ -260,18 +260,20 @@ def _tiles(postings: DataFrame, known: DataFrame, bits: DataFrame) -> DataFrame:
         placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi")
         .select("token", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
     )
-    # A small bucket is one tile; in a large one a tile holds one size band's share of the nodes.
-    band = F.when(F.col("tiles") > 1, _band()).otherwise(0).alias("band")
-    member = placed.join(open_, "token").select(
-        "token", "tiles", band, F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int").alias("tile"), "key", "n", "comp"
+    tile = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int").alias("tile")
+    member = written(placed.join(open_, "token").select("token", "tiles", _band().alias("band"), tile, F.struct("key", "n", "comp").alias("m")), "ngram")
+    with_bits = lambda rows: rows.join(bits, rows.m.key == bits.key).select(*rows.columns[:-1], F.struct("m.key", "m.n", "m.comp", "bitmap").alias("m"))
+    # A small bucket is one tile; buckets of the same nodes (the tokens of a shared passage) are one bucket.
+    small = member.where("tiles = 1").groupBy("token").agg(F.sort_array(F.collect_list("m")).alias("members")).select("members").distinct()
+    small = with_bits(small.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("m"))).groupBy("bucket").agg(F.collect_list("m").alias("rows"))
+    # In a large one a tile holds one size band's share of the nodes.
+    large = written(
+        with_bits(member.where("tiles > 1").select("token", "band", "tile", "m")).groupBy("token", "band", "tile").agg(F.collect_list("m").alias("rows")), "ngram"
     )
-    tiles = written(
-        member.join(bits, "key").groupBy("token", "tiles", "band", "tile").agg(F.collect_list(F.struct("key", "n", "comp", "bitmap")).alias("rows")), "ngram"
-    )
-    many = tiles.where("tiles > 1")
     same = [F.col("a.token") == F.col("b.token"), F.expr("(a.band = b.band AND a.tile < b.tile) OR a.band + 1 = b.band")]
-    across = many.alias("a").join(many.alias("b"), same).select(F.col("a.rows").alias("rows"), F.col("b.rows").alias("others"))
-    return tiles.where("size(rows) > 1").select("rows", F.lit(None).cast(tiles.schema["rows"].dataType).alias("others")).unionByName(across)
+    across = large.alias("a").join(large.alias("b"), same).select(F.col("a.rows").alias("rows"), F.col("b.rows").alias("others"))
+    alone = small.select("rows").unionByName(large.select("rows")).where("size(rows) > 1")
+    return alone.select("rows", F.lit(None).cast(large.schema["rows"].dataType).alias("others")).unionByName(across)
 
 
 def _band():
@@ -319,7 +321,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, text: str = "text",
     wanted = written(wanted, "ngram")
     sets = written(_sets(docs, words, bloom_filter(wanted, "owner", wanted.count())), "ngram")
     links = written(_verified(best, sets), "ngram")
-    known = roots(links)
+    known = roots(links.distinct())
     bits = sets.select("key", "bitmap").dropDuplicates(["key"])
     # First the likeliest pair of each two components, which joins what belongs together; then all pairs left.
     for best_only in (True, False):
