@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal, frugal_group
 from .textblocks import mix
 
 #: Bits of a filter: 16 per member, at most 2**27 (16 MB).
@@ -29,6 +30,8 @@ def bloom_filter(tokens: DataFrame, column: str, size: int, most_bits: int = BLO
     bits = int(np.clip(int(np.ceil(np.log2(max(size, 1) * 16))), 16, most_bits))
     segment = min(bits, 20)
 
+    @frugal
+
     def spots(batches):
         held, size = [], 0
 
@@ -52,6 +55,8 @@ def bloom_filter(tokens: DataFrame, column: str, size: int, most_bits: int = BLO
         if size:
             yield flush()
 
+    @frugal_group
+
     def joined(key, rows):
         on = np.zeros(1 << segment, np.uint8)
         for part in rows.column(1):

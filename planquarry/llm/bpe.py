@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import frugal, table
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -248,6 +248,8 @@ def pieces(path: str) -> list[bytes]:
 def encode(docs: DataFrame, path: str, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """(row_id, ids array<int>) of whole texts; null text is empty, empty text has no ids, repeated rows stay."""
 
+    @frugal
+
     def run(batches):
         for b in batches:
             ids = list(encode_byte_level(b.column(1).fill_null("").to_pylist(), path))
@@ -260,6 +262,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", row_id: str = "doc_id
 def decode(rows: DataFrame, path: str, row_id: str = "doc_id") -> DataFrame:
     """(row_id, text) of id lists, through the id-to-piece table."""
 
+    @frugal
+
     def run(batches):
         look = pieces(path)
         for b in batches:
@@ -273,6 +277,8 @@ def decode(rows: DataFrame, path: str, row_id: str = "doc_id") -> DataFrame:
 def round_trip(docs: DataFrame, path: str, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """Encode, then decode, in one pass: (row_id, n_tokens, ids_sha256, decoded_sha256)."""
 
+    @frugal
+
     def run(batches):
         look = pieces(path)
         signs = [b"%d," % i for i in range(len(look))]

@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import frugal, table
 
 LEVELS = (3,)
 SLOTS = 64
 #: Bytes of text that are parsed together.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -145,6 +145,8 @@ def in_hex(sig: np.ndarray) -> list[str]:
 def fingerprint(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """(row_id, fingerprint string) of whole texts. Null text is empty; the empty text's fingerprint is all ones."""
 
+    @frugal
+
     def run(batches):
         for b in batches:
             texts = [t.encode() for t in b.column(1).fill_null("").to_pylist()]
@@ -217,6 +219,8 @@ def edited_pairs(docs: DataFrame, slice_rows: int = 512) -> DataFrame:
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
         )
 
+    @frugal
+
     def run(batches):
         rows: list = []
         prints = np.empty((0, SLOTS), np.uint32)

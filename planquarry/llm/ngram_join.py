@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import bloom_filter, in_filter
-from .common import merged, parts_for, roots, table, written
+from .common import frugal, frugal_group, merged, parts_for, roots, table, written
 from .textblocks import blocks, mix, shingle_sets
 
 SHARE = 75  # percent
@@ -50,6 +50,8 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _sizes(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, key): set size, and a hash of the whole set; texts without words get keys of their own from their ids."""
 
+    @frugal
+
     def run(batches):
         for b in batches:
             for at, data, offsets in blocks(b):
@@ -66,6 +68,8 @@ def _counted(docs: DataFrame, words: int, parts: int) -> DataFrame:
     """(token, n): shingles (48 bits of their hashes) in two rows or more, n saturating at 255."""
     high = _U(24)
 
+    @frugal
+
     def send(batches):
         held: list = []
         size = 0
@@ -87,12 +91,14 @@ def _counted(docs: DataFrame, words: int, parts: int) -> DataFrame:
                 tokens, _ = shingle_sets(data, offsets, words)
                 held.append(tokens & _MASK)
                 size += len(tokens)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield flush()
                     held, size = [], 0
         if size:
             yield flush()
 
+    @frugal_group
+
     def count(key, rows):
         tokens, counts = [], []
         for t, c in zip(rows.column(1), rows.column(2)):
@@ -117,6 +123,8 @@ def _postings(docs: DataFrame, words: int, several, frequent) -> DataFrame:
     spark = docs.sparkSession
     filters = spark.sparkContext.broadcast((several, frequent))
 
+    @frugal
+
     def run(batches):
         (several, several_bits), (frequent, frequent_bits) = filters.value
         for b in batches:
@@ -159,6 +167,8 @@ def _sets(docs: DataFrame, words: int, owners) -> DataFrame:
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(owners)
 
+    @frugal
+
     def run(batches):
         bloom, bits = held.value
         for b in batches:
@@ -199,6 +209,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb"))
 
+    @frugal
+
     def run(batches):
         for b in batches:
             ok = np.zeros(b.num_rows, bool)
@@ -218,6 +230,8 @@ def _bounded(tiles: DataFrame, best: bool) -> DataFrame:
     """Pairs of nodes of tile pairs (rows, others; others null: within rows) of unequal components that bit counts don't
     rule out; `best`: of each component only the pair with the highest bound."""
 
+    @frugal
+
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
@@ -291,7 +305,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, text: str = "text",
     sizes = written(_sizes(docs, words), "ngram")
     total = int(sizes.agg(F.sum("n")).first()[0] or 0)
     nodes = sizes.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("owner"))
-    parts = min(parts_for(spark, total * 8, 24 << 20), 1 << 20)
+    parts = min(parts_for(spark, total * 8, 12 << 20), 1 << 20)
     counted = written(_counted(docs, words, parts), "ngram")
     several = counted.count()
     often = counted.where(F.col("n") >= FREQUENT)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import vocabulary, word_table
-from .common import table
+from .common import frugal, table
 
 SIZE = 2048
 SENTENCE_PENALTY = 4
@@ -140,6 +140,8 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = 1, text: st
     crosses, and each distinct word is encoded once per worker.
     """
 
+    @frugal
+
     def run(batches):
         from pyspark import TaskContext
 

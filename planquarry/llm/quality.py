@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import frugal, table
 from .textblocks import blocks, words
 
 SAMPLE = 12_000
@@ -167,6 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")
 
+    @frugal
+
     def run(batches):
         for b in batches:
             for at, data, offsets in blocks(b):
@@ -196,6 +198,8 @@ def score(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:
     """The columns `keep` and `score` of whole texts; null text is empty and has the score of no words."""
     names = list(keep)
 
+    @frugal
+
     def run(batches):
         for b in batches:
             out = np.empty(b.num_rows)
@@ -211,6 +215,8 @@ def keep_good(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -
     """Rows of docs, all columns, whose whole text scores at least `threshold`."""
     text = docs.columns.index("text")
 
+    @frugal
+
     def run(batches):
         for b in batches:
             good = np.empty(b.num_rows, bool)

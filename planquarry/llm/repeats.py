@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bloom import bloom_filter, in_filter
-from .common import parts_for, table, written
+from .common import frugal, frugal_group, parts_for, table, written
 from .textblocks import blocks, mix, prefix_hashes
 
 LENGTH = 100
@@ -36,8 +36,6 @@ FREQUENT = 200
 HELD = 300_000
 #: Bytes that one suffix array covers, unless one anchor has more.
 GROUP = 1 << 17
-#: Bytes of text whose anchors are found at once.
-BLOCK = 1 << 19
 _U = np.uint64
 _MAX = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -165,7 +163,7 @@ def _segments(batches, length, several, frequent):
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
         marks = (b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) & 0xFFFFFFFF).astype(np.uint32)
-        for at, data, offsets in blocks(b, 1, BLOCK):
+        for at, data, offsets in blocks(b):
             s = Segments(data, offsets, length)
             keys = s.keys()
             if len(keys):
@@ -277,10 +275,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     parts = min(parts_for(spark, total, 20 << 20), 1 << 20)
 
+    @frugal
+
     def anchors(batches):
         held, size = [], 0
         for b in batches:
-            for _, data, offsets in blocks(b, 1, BLOCK):
+            for _, data, offsets in blocks(b):
                 held.append(Segments(data, offsets, length).keys())
                 size += len(held[-1])
                 if size > HELD:
@@ -291,6 +291,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             yield _send(parts, {"key": keys, "n": np.minimum(n, 60000).astype(np.uint16)})
 
+    @frugal_group
+
     def count(key, rows):
         c = _received(rows, [("key", _U), ("n", np.uint16)])
         order = np.argsort(c["key"], kind="stable")
@@ -304,6 +306,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     often = counted.where(F.col("n") >= FREQUENT)
     filters = spark.sparkContext.broadcast((bloom_filter(counted, "key", counted.count()), bloom_filter(often, "key", often.count())))
 
+    @frugal
+
     def dealt(batches):
         """Segments by key, of equal ones in a task the first only; the others repeat and are sent as such (part -1)."""
         several, frequent = filters.value
@@ -334,6 +338,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if size:
             yield from flush()
 
+    @frugal_group
+
     def settle(key, rows):
         c = _received(rows, _FIELDS)
         if key[0].as_py() < 0:
@@ -349,6 +355,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     fields = ", ".join(f"{k} binary" for k, _ in _FIELDS)
     settled = written(docs.mapInArrow(dealt, f"part int, {fields}").groupBy("part").applyInArrow(settle, _SPANS), "repeats")
 
+    @frugal
+
     def places(batches):
         for b in batches:
             c = {"doc_id": b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), "mark": b.column(1).to_numpy(), "lo": b.column(2).to_numpy()}
@@ -357,6 +365,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     unsettled = settled.where("kind = 1").select("doc_id", "mark", "lo").mapInArrow(places, "place long")
     chosen = spark.sparkContext.broadcast(bloom_filter(unsettled, "place", settled.where("kind = 1").count()))
 
+    @frugal
+
     def bodies(batches):
         several, frequent = filters.value
         for c, (data, lo) in _segments(batches, length, several, frequent):
@@ -374,6 +384,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 ["part", "body", *(k for k, _ in _FIELDS)],
             )
 
+    @frugal_group
+
     def expand(key, rows):
         c = _received(rows, _FIELDS)
         sizes = c["span"].astype(np.int64) + length
@@ -431,6 +443,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = False,
     held = held.withColumn("doc_id", F.coalesce(F.col("__0"), F.lit(-(2**63))).cast("long")).withColumn("mark", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
     joined = held.join(per_doc, ["doc_id", "mark"], "left").select(*[f"__{i}" for i in range(len(names))], "text", "spans")
 
+    @frugal
+
     def run(batches):
         k = len(names)
         for b in batches:

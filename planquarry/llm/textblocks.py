@@ -13,7 +13,7 @@ _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: One odd number per byte value: bytes enter hashes through this table.
 _BYTE = np.random.RandomState(7).randint(0, 1 << 62, 256).astype(_U) * _U(4) + _U(3)
 _POW = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

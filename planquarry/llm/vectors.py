@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, written
+from .common import components, frugal, table, written
 
 COSINE = 0.93
 CODE = 160
@@ -136,6 +136,8 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, code: int = CODE, cap:
     label_type = dict(rows.dtypes)["label"]
     width = np.float32 if dict(rows.dtypes)["embedding"] == "array<float>" else np.float64
 
+    @frugal
+
     def decoded(batches):
         for b in batches:
             dims = b.column(1).to_pylist()
@@ -169,6 +171,8 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, code: int = CODE, cap:
     )
     work = tiles.select("filter", "rows", F.lit(None).cast(tiles.schema["rows"].dataType).alias("others")).unionByName(pairs)
 
+    @frugal
+
     def links(batches):
         for batch in batches:
             for k in range(batch.num_rows):
