@@ -9,6 +9,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S | re.I)
 _THINK = re.compile(r"<think>.*?(?:</think>|$)", re.S | re.I)
@@ -29,18 +30,22 @@ def _load(text: str):
 
 
 def candidates(text: str | None) -> list[str]:
-    """Texts to try in order: fenced blocks, the whole, every decodable value, the first open bracket closed."""
+    """Texts to try in order: fenced blocks, the whole, values that stand alone, the first open bracket closed, inner values."""
     body = _clean(text)
     out = [x.strip() for x in _FENCE.findall(body)] + [body]
-    decoder = json.JSONDecoder()
+    decoder, outer, inner, upto = json.JSONDecoder(), [], [], 0
     for m in re.finditer(r"[{\[]", body):
         try:
             _, end = decoder.raw_decode(body, m.start())
         except (ValueError, RecursionError):
+            upto = len(body)  # what follows may be part of a cut value
             continue
-        out.append(body[m.start() : end])
+        (outer if m.start() >= upto else inner).append(body[m.start() : end])
+        upto = max(upto, end)
+    out += outer
     if (fixed := closed(body)) is not None:
         out.append(fixed)
+    out += inner
     return list(dict.fromkeys(x for x in out if x))
 
 
@@ -125,24 +130,27 @@ def items_of(values) -> list[dict]:
     return out
 
 
-ITEM = "array<struct<category:string,size:string,bbox:array<double>>>"
+# Types as objects: workers import this module and have no session to parse type texts with.
+ITEMS = T.ArrayType(
+    T.StructType([T.StructField("category", T.StringType()), T.StructField("size", T.StringType()), T.StructField("bbox", T.ArrayType(T.DoubleType()))])
+)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def parse_object(texts: pd.Series) -> pd.Series:
     """Compact JSON of the strict object, or null."""
     found = (object_of(t) for t in texts)
     return pd.Series([None if v is None else json.dumps(v, ensure_ascii=False, separators=(",", ":")) for v in found], dtype=object)
 
 
-@F.pandas_udf(ITEM)
+@F.pandas_udf(ITEMS)
 def parse_items(texts: pd.Series) -> pd.Series:
     """Annotations of the first readable list, or null."""
     found = (list_of(t) for t in texts)
     return pd.Series([None if v is None else items_of(v) for v in found], dtype=object)
 
 
-@F.pandas_udf(f"array<{ITEM}>")
+@F.pandas_udf(T.ArrayType(ITEMS))
 def parse_blocks(texts: pd.Series) -> pd.Series:
     """Annotations of every list of a text, in order."""
     return pd.Series([[items_of(v) for v in lists_of(t)] for t in texts], dtype=object)
@@ -151,9 +159,9 @@ def parse_blocks(texts: pd.Series) -> pd.Series:
 def snap(names: list[str], cutoff: float = 0.6):
     """UDF: the closest of `names` by matching blocks, at least `cutoff` alike, else the text itself."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def closest(texts: pd.Series) -> pd.Series:
         table = {t: next(iter(difflib.get_close_matches(t, names, 1, cutoff)), t) for t in texts.dropna().unique()}
-        return texts.map(table)
+        return pd.Series([table.get(t) for t in texts], dtype=object)
 
     return closest

@@ -54,9 +54,9 @@ def quota(rows: DataFrame, group: str, quotas: DataFrame, seed: int, index: str
 
 
 def dominant(rows: DataFrame, by: str, category: str, order: str) -> DataFrame:
-    """Per group the most frequent category; ties go to the one that comes first."""
+    """Per group the most frequent category; ties go to the one that comes first, then to the last by name."""
     n = rows.groupBy(by, category).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
-    return n.groupBy(by).agg(F.max_by(category, F.struct("n", -F.col("first"))).alias(category))
+    return n.groupBy(by).agg(F.max_by(category, F.struct("n", -F.col("first"), F.col(category))).alias(category))
 
 
 def _cover(pool: pd.DataFrame, targets: list[str], n: int) -> Iterable[int]:

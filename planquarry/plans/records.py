@@ -295,7 +295,7 @@ def label_distribution(spark, sf):
 @query(
     "dominant_category",
     """SELECT image, cat FROM (SELECT l_orderkey % 500 AS image, concat(l_returnflag, l_linestatus) AS cat, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY 1, 2)
-QUALIFY row_number() OVER (PARTITION BY image ORDER BY n DESC, first) = 1""",
+QUALIFY row_number() OVER (PARTITION BY image ORDER BY n DESC, first, cat DESC) = 1""",
 )
 def dominant_category(spark, sf):
     rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 500).alias("image"), F.concat("l_returnflag", "l_linestatus").alias("cat"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
