@@ -137,24 +137,28 @@ def resolved_images(items: DataFrame, files: DataFrame) -> DataFrame:
     return joined.select("image", pick("width").alias("width"), pick("height").alias("height"), F.when(local, "local").when(known, "metadata_only").otherwise("missing").alias("status"))
 
 
+def _strip(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def rules(spark: SparkSession, path: str) -> DataFrame:
     """(file, categories, step, keywords, content) of Markdown files with a front matter of simple keys."""
     text = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
     front = F.regexp_extract("value", r"(?s)^---\s*\n(.*?)\n---\s*\n", 1)
     body = F.regexp_replace("value", r"(?s)^---\s*\n.*?\n---\s*\n", "")
     listed = lambda key: F.filter(
-        F.transform(F.split(F.regexp_replace(F.regexp_extract(front, rf"(?m)^{key}:\s*\[?(.*?)\]?\s*$", 1), "[\"']", ""), ","), lambda x: F.trim(x)), lambda x: x != ""
+        F.transform(F.split(F.regexp_replace(F.regexp_extract(front, rf"(?m)^{key}:\s*\[?(.*?)\]?\s*$", 1), "[\"']", ""), ","), _strip), lambda x: x != ""
     )
     step = F.coalesce(F.expr("try_cast(s AS INT)"), F.lit(0))
     return text.withColumn("s", F.regexp_extract(front, r"(?m)^step:\s*(\d+)\s*$", 1)).select(
-        "file", listed("categories").alias("categories"), step.alias("step"), listed("keywords").alias("keywords"), F.trim(body).alias("content")
+        "file", listed("categories").alias("categories"), step.alias("step"), listed("keywords").alias("keywords"), _strip(body).alias("content")
     )
 
 
 def chunks(text: Column, size: int, overlap: int) -> Column:
     """Paragraphs packed into chunks of at most `size` signs where one paragraph allows; each chunk starts with the last
     `overlap` signs of the one before."""
-    parts = F.filter(F.transform(F.split(text, "\n\n+"), lambda x: F.trim(x)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, "\n\n+"), _strip), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(s: Column, p: Column) -> Column:
