@@ -1,18 +1,93 @@
 """One-to-one matching of predicted and true boxes.
 
-Candidates come from an equi join on the image (and the category, where classes must agree) with the overlap as
-residual condition; each image's candidates, as many as its boxes overlap, are then folded in order. Images are
-independent, so the work is dealt by image and needs no more memory than one image's candidates.
+`match` deals both sides by image and works one image at a time on arrays: all overlaps at once, then the order
+of choice. A fold in SQL functions says the same (`candidates`, then `greedy` or an ordered variant) and is there
+for candidates that come from elsewhere; it copies its state at every step, so it is for few candidates per image.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 
 
+def _overlaps(p: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """IoU of every box with every other; 0 where the union is empty."""
+    w = np.minimum(p[:, None, 2], g[None, :, 2]) - np.maximum(p[:, None, 0], g[None, :, 0])
+    h = np.minimum(p[:, None, 3], g[None, :, 3]) - np.maximum(p[:, None, 1], g[None, :, 1])
+    both = np.maximum(w, 0) * np.maximum(h, 0)
+    area = lambda b: np.maximum(b[:, 2] - b[:, 0], 0) * np.maximum(b[:, 3] - b[:, 1], 0)
+    union = area(p)[:, None] + area(g)[None, :] - both
+    return np.where(union > 0, both / np.where(union > 0, union, 1), 0.0)
+
+
+def _choose(iou: np.ndarray, fine: np.ndarray, same: np.ndarray, how: str) -> list[tuple[int, int]]:
+    if how in ("greedy", "label"):
+        u, v = np.nonzero(fine)
+        score = iou[u, v]
+        if how == "label":
+            score = np.where(score >= 0.8, 0.5, score * 0.5) + np.where(same[u, v], 0.5, 0.0)
+        order = np.lexsort((v, u, -score))
+        free_p, free_g, out = bytearray(b"\1" * len(iou)), bytearray(b"\1" * iou.shape[1]), []
+        for p, g in zip(u[order].tolist(), v[order].tolist()):
+            if free_p[p] and free_g[g]:
+                free_p[p] = free_g[g] = 0
+                out.append((p, g))
+        return out
+    left = np.where(fine, iou, -1.0)
+    out = []
+    if how == "prediction":
+        for p in range(len(left)):
+            g = int(left[p].argmax())
+            if left[p, g] >= 0:
+                out.append((p, g))
+                left[:, g] = -1
+        return out
+    for g in range(left.shape[1]):
+        column = left[::-1, g]
+        p = len(left) - 1 - int(column.argmax())
+        if left[p, g] >= 0:
+            out.append((p, g))
+            left[p] = -1
+    return out
+
+
+def match(predicted: DataFrame, truth: DataFrame, threshold: float, how: str = "greedy", same_category: bool = True, strict: bool = False) -> DataFrame:
+    """Rows (image, p, g, iou, same). how: "greedy" (best overlap of the image first), "label" (overlap and label count
+    half each, 0.8 is full), "prediction" or "truth" (each in turn takes its best free partner; of equal ones the first,
+    or for "truth" the last). Ties otherwise by position. Positions are unique per image and side; null categories are
+    equal to each other only where classes need not agree."""
+    if how not in ("greedy", "label", "prediction", "truth"):
+        raise ValueError(f"unknown order of choice: {how}")
+    kind = dict(predicted.dtypes)["image"]
+    flat = lambda df: df.where("box IS NOT NULL").select("image", "pos", "cat", *[F.col("box")[i].alias(f"b{i}") for i in range(4)])
+
+    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        p, g = left.sort_values("pos"), right.sort_values("pos")
+        out = {"image": [], "p": [], "g": [], "iou": [], "same": []}
+        if len(p) and len(g):
+            corner = ["b0", "b1", "b2", "b3"]
+            iou = _overlaps(p[corner].to_numpy(float), g[corner].to_numpy(float))
+            codes, _ = pd.factorize(pd.concat([p["cat"], g["cat"]]), use_na_sentinel=False)
+            same = codes[: len(p), None] == codes[None, len(p) :]
+            fine = (iou > threshold) if strict else (iou >= threshold)
+            if same_category:
+                fine &= same & p["cat"].notna().to_numpy()[:, None]
+            chosen = _choose(iou, fine, same, how)
+            if chosen:
+                u, v = np.array(chosen).T
+                image = p["image"].iloc[0]
+                out = {"image": [image] * len(u), "p": p["pos"].to_numpy()[u], "g": g["pos"].to_numpy()[v], "iou": iou[u, v], "same": same[u, v]}
+        return pd.DataFrame(out)
+
+    grouped = flat(predicted).groupBy("image").cogroup(flat(truth).groupBy("image"))
+    return grouped.applyInPandas(one, f"image {kind}, p int, g int, iou double, same boolean")
+
+
 def candidates(predicted: DataFrame, truth: DataFrame, threshold: float, same_category: bool = True, strict: bool = False) -> DataFrame:
     """(image, p, g, iou, same) of pairs that overlap by `threshold` (more than it if strict).
 

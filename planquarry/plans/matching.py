@@ -28,12 +28,12 @@ _COLUMNS = "SELECT CAST(image AS BIGINT) AS image, p, g, iou, same FROM m"
 
 @query("match_global_greedy", sql(_COLUMNS))
 def match_global_greedy(spark, sf):
-    return M.greedy(M.candidates(*boxes(spark, sf), 0.4))
+    return M.match(*boxes(spark, sf), 0.4)
 
 
 @query("match_any_class_greedy", sql(_COLUMNS, same=False))
 def match_any_class_greedy(spark, sf):
-    return M.greedy(M.candidates(*boxes(spark, sf), 0.4, same_category=False))
+    return M.match(*boxes(spark, sf), 0.4, same_category=False)
 
 
 _LABEL_SCORE = "(CASE WHEN iou >= 0.8 THEN 0.5 ELSE iou * 0.5 END + CASE WHEN same THEN 0.5 ELSE 0.0 END)"
@@ -41,9 +41,8 @@ _LABEL_SCORE = "(CASE WHEN iou >= 0.8 THEN 0.5 ELSE iou * 0.5 END + CASE WHEN sa
 
 @query("match_label_bonus", sql(f"SELECT CAST(image AS BIGINT) AS image, p, g, iou, {_LABEL_SCORE} AS score FROM m", same=False, limit="2 * inter > (pa + ga - inter)", score=_LABEL_SCORE))
 def match_label_bonus(spark, sf):
-    pairs = M.candidates(*boxes(spark, sf), 0.5, same_category=False, strict=True)
-    score = G.match_score(F.col("iou"), F.col("same"))
-    return M.greedy(pairs, score).select("image", "p", "g", "iou", score.alias("score"))
+    matches = M.match(*boxes(spark, sf), 0.5, "label", same_category=False, strict=True)
+    return matches.select("image", "p", "g", "iou", G.match_score(F.col("iou"), F.col("same")).alias("score"))
 
 
 def _ordered_sql(first: str, second: str, tie: str) -> str:
@@ -60,12 +59,12 @@ m AS (SELECT image, u.p AS p, u.g AS g, u.iou AS iou, u.same AS same FROM (SELEC
 
 @query("match_prediction_order", sql(_COLUMNS, same=False, match=_ordered_sql("p", "g", "g")))
 def match_prediction_order(spark, sf):
-    return M.in_prediction_order(M.candidates(*boxes(spark, sf), 0.4, same_category=False))
+    return M.match(*boxes(spark, sf), 0.4, "prediction", same_category=False)
 
 
 @query("match_truth_order", sql(_COLUMNS, same=False, match=_ordered_sql("g", "p", "-p")))
 def match_truth_order(spark, sf):
-    return M.in_truth_order(M.candidates(*boxes(spark, sf), 0.4, same_category=False))
+    return M.match(*boxes(spark, sf), 0.4, "truth", same_category=False)
 
 
 _STATS = """, tp AS (SELECT gt.cat AS cat, count(*) AS tp, sum(m.iou) AS iou_sum FROM m JOIN gt ON gt.image = m.image AND gt.pos = m.g WHERE m.same GROUP BY gt.cat),
@@ -79,7 +78,7 @@ s1 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall /
 
 def _stats(spark, sf, same=True):
     predicted, truth = boxes(spark, sf)
-    return M.counts(predicted, truth, M.greedy(M.candidates(predicted, truth, 0.4, same)))
+    return M.counts(predicted, truth, M.match(predicted, truth, 0.4, same_category=same))
 
 
 def _round(df, *names):
@@ -121,7 +120,7 @@ q AS (SELECT k.image AS image, n_p, n_g, count(m.p) AS tp, coalesce(sum(m.iou),
 
 def _per_image(spark, sf):
     predicted, truth = boxes(spark, sf)
-    m = M.greedy(M.candidates(predicted, truth, 0.4)).groupBy("image").agg(F.count(F.lit(1)).alias("tp"), F.sum("iou").alias("iou_sum"))
+    m = M.match(predicted, truth, 0.4).groupBy("image").agg(F.count(F.lit(1)).alias("tp"), F.sum("iou").alias("iou_sum"))
     n_p = predicted.groupBy("image").agg(F.count(F.lit(1)).alias("n_p"))
     n_g = truth.groupBy("image").agg(F.count(F.lit(1)).alias("n_g"))
     return n_g.join(n_p, "image", "left").join(m, "image", "left").na.fill(0)
@@ -160,7 +159,7 @@ def count_error(spark, sf):
 )
 def size_accuracy_of_matches(spark, sf):
     predicted, truth = boxes(spark, sf)
-    m = M.greedy(M.candidates(predicted, truth, 0.4))
+    m = M.match(predicted, truth, 0.4)
     g = truth.select("image", F.col("pos").alias("g"), "cat", F.col("size").alias("gs"))
     p = predicted.select("image", F.col("pos").alias("p"), F.col("size").alias("ps"))
     ps, gs = F.col("ps"), F.col("gs")

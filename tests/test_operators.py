@@ -183,3 +183,26 @@ def test_watch_appends_once_and_reranks(spark, tmp_path):
     run()
     assert [(r.checkpoint, r.f1) for r in spark.read.parquet(f"{base}/rank").orderBy("rank").collect()] == [("a", 0.9), ("b", 0.3)]
     assert spark.read.parquet(f"{base}/done").count() == 3
+
+
+def test_match_equals_the_folds(spark):
+    import random
+
+    r = random.Random(1)
+
+    def side(n):
+        rows = []
+        for image in range(6):
+            for pos in range(n if image else 0):
+                x, y = float(r.randint(0, 20)), float(r.randint(0, 20))
+                rows.append((image, pos, r.choice(["A", "B", None]), [x, y, x + r.randint(0, 9), y + r.randint(1, 9)], "", 1))
+        return box_rows(spark, rows)
+
+    p, g = side(25), side(20)
+    listed = lambda df: sorted((x.image, x.p, x.g, x.iou, x.same) for x in df.collect())
+    for same in (True, False):
+        c = M.candidates(p, g, 0.2, same)
+        assert listed(M.match(p, g, 0.2, "greedy", same)) == listed(M.greedy(c))
+        assert listed(M.match(p, g, 0.2, "prediction", same)) == listed(M.in_prediction_order(c))
+        assert listed(M.match(p, g, 0.2, "truth", same)) == listed(M.in_truth_order(c))
+    assert M.match(p.limit(0), g, 0.2).count() == 0
