@@ -481,3 +481,16 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_repeats": op10_repeats}
+
+_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS w FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM h WHERE length(h) >= 200)),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(w) ORDER BY doc_id, i) AS k FROM s) WHERE k > 1),
+g AS (SELECT doc_id, i, sum(CASE WHEN i - prev <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM d)),
+u AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, run),
+z AS (SELECT doc_id, a, b FROM u UNION ALL SELECT doc_id, length(h) // 2, length(h) // 2 FROM h),
+k AS (SELECT z.doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY z.doc_id ORDER BY a, b) AS prev FROM z)
+SELECT k.doc_id AS doc_id, CAST(max(length(h) // 2) AS BIGINT) AS n_bytes, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans,
+  sha256(unhex(string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a, b))) AS kept_sha256 FROM k JOIN h ON h.doc_id = k.doc_id GROUP BY k.doc_id
+"""
+ORACLE_SQL = {"op10_repeats": _SQL}

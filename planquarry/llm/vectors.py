@@ -198,3 +198,13 @@ def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_embeddings": op3_embeddings}
+
+_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+g AS (SELECT vec_id, label, x, sqrt(list_inner_product(x, x)) AS n FROM v WHERE len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_inner_product(x, x) > 0),
+e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_inner_product(a.x, b.x) / (a.n * b.n) >= 0.93),
+r AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node WHERE r.root < e.y),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node), k AS (SELECT x, count(*) AS n FROM e GROUP BY x)
+SELECT m.vec_id AS vec_id, coalesce(k.n, 0) AS n_links, c.root AS component_id, m.vec_id = c.root AS kept FROM embeddings m JOIN c ON c.node = m.vec_id LEFT JOIN k ON k.x = m.vec_id
+"""
+ORACLE_SQL = {"op3_embeddings": _SQL}
