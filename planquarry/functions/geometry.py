@@ -41,7 +41,7 @@ def valid(b: Column, normalized: bool = True) -> Column:
     fine = (b[0] < b[2]) & (b[1] < b[3])
     if normalized:
         fine = fine & (F.array_min(b) >= 0) & (F.array_max(b) <= SCALE)
-    return F.coalesce(fine, F.lit(False))
+    return F.coalesce(F.when(F.size(b) == 4, fine), F.lit(False))
 
 
 def _clip(v: Column) -> Column:
