@@ -298,7 +298,8 @@ def _band():
 def jaccard_components(docs: DataFrame, words: int = WORDS, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: exact components of the links of Jaccard >= 0.75.
 
-    Null text is empty; texts without words have no shingles and link with nothing; repeated rows stay rows.
+    Null text is empty; texts without words have no shingles and link with nothing; repeated rows stay rows. Null ids
+    link like others; a component's id is its smallest id, null if it has none.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(row_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -331,7 +332,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, text: str = "text",
     # Nodes of tokens with one node only have no partner; the others' texts are read again for their sets.
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("token")
     postings = written(postings.join(shared, "token"), "ngram")
-    wanted = nodes.join(postings.select("key").distinct(), "key", "left_semi").select("owner")
+    wanted = nodes.join(postings.select("key").distinct(), "key", "left_semi").select(F.coalesce("owner", F.lit(0)).cast("long").alias("owner"))
     wanted = written(wanted, "ngram")
     sets = written(_sets(docs, words, bloom_filter(wanted, "owner", wanted.count())), "ngram")
     links = written(_verified(best, sets), "ngram")
@@ -343,7 +344,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, text: str = "text",
         known = merged(known, more)
     comps = nodes.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     comps = written(comps, "ngram")
-    smallest = comps.groupBy("comp").agg(F.min("owner").alias("component_id"))
+    # Written, so that a join on a component of very many sets can be split.
+    smallest = written(comps.groupBy("comp").agg(F.min("owner").alias("component_id")), "ngram")
     of_key = comps.join(smallest, "comp").select("key", "component_id")
     linked = sizes.where("n > 0").join(of_key, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = sizes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

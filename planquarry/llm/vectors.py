@@ -126,7 +126,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, code: int = CODE, cap:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label).
 
     Rows without label or with an unusable vector link with nothing. Equal vectors of a label are handled as one
-    with a weight; ids are taken to be distinct. Vectors of different lengths never link.
+    with a weight; ids are taken to be distinct, and a null id links with its exact copies only. Vectors of different lengths never link.
     """
     rows = rows.select("vec_id", "embedding", "label")
     good = rows.where(F.col("label").isNotNull() & usable()).withColumn("dim", F.size("embedding"))

@@ -69,6 +69,13 @@ def test_jaccard_empty_and_repeated(spark):
     assert got == [(2, 2, 2), (5, 2, 2), (5, 2, 2), (7, 0, 7), (7, 0, 7), (9, 2, 9)]
 
 
+def test_jaccard_null_ids(spark):
+    big = 2**53 + 1
+    rows = [(None, "a b c d e f g"), (None, "a b c d e f g h"), (big, "q r s t u v w x y"), (big + 2, "q r s t u v w x y z"), (None, "k l m n o p")]
+    got = [tuple(r) for r in ngram_join.jaccard_components(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(None, 3, None), (None, 4, None), (big, 5, big), (big + 2, 6, big), (None, 2, None)], key=str)
+
+
 def test_jaccard_threshold_is_exact(spark):
     """Sets of 10 and 11 shingles that share 9: 900 < 75 * 12 is false, so they link; one word less and they don't."""
     base = [f"t{i}" for i in range(14)]

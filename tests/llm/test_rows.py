@@ -329,3 +329,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert 7000 in kept[1] and not {7001, 7002} & set(kept[1])
     assert passage in kept[2][7010] and passage not in kept[2][7011]
     assert corpus_pipeline.run(spark, sf).count() >= len(kept[2])
+
+
+def test_null_ids_everywhere(spark, tmp_path):
+    """Rows without an id are rows like others."""
+    rows = [(None, "mit license " * 30), (None, None), (3, "mit license " * 30), (None, "mit license " * 30), (4, "other text")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(3, 1, None), (None, 0, None), (4, None, 1)], "doc_id long, quality int, toxic int")
+    sf = table_dir(spark, tmp_path, documents=docs, labels=labels)
+    for query in (packing.op2_packing, licenses.op4_licenses, quality.op5_quality, bpe.op6_bpe, sharding.op7_sharding, fingerprints.op8_fingerprints, repeats.op10_repeats):
+        got = query(spark, sf).collect()
+        assert sum(r.doc_id is None for r in got) >= (3 if query is not fingerprints.op8_fingerprints else 0) and len(got) >= 5
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, sf).count() >= 1
