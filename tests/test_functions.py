@@ -61,6 +61,11 @@ def test_size(spark, value, kind, expected):
     assert one(spark, X.size(lit(value), lit(kind) if kind else None)) == (expected,)
 
 
+def test_older_size(spark):
+    k = lit("Round Hole Group")
+    assert one(spark, X.size_older(lit("4-φ8,0 mm"), k), X.size_older(lit("∅5")), X.size_older(lit("diameter 3")), X.size_older(lit("LL5"), lit("slot"))) == ("4-8", "∅5", "DIAMETER3", "LL5")
+
+
 def test_size_similarity(spark):
     k = lit("Threaded Hole")
     pairs = [("M8", "M8DP10", 2 / 3), ("M8", "m8", 1.0), ("", "M8", 0.0), (None, "", 1.0), ("R1", "Ø2", 0.0), ("2X2", "2", 2 * 0.5 / 1.5)]
