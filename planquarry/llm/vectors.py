@@ -22,9 +22,12 @@ from .common import components, frugal, table, written
 COSINE = 0.93
 CODE = 160
 #: Cap height in standard deviations of a random direction's inner product.
-CAP = 3.1
-LEAST = 12
+CAP = 2.9
+LEAST = 24
 TILE = 128
+#: Tiles of an Arrow batch: each holds up to TILE vectors twice over.
+BATCH_TILES = 64
+_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @functools.lru_cache(maxsize=8)
@@ -108,7 +111,7 @@ def _compare(left: dict, right: dict | None, here: int, cosine: float):
 
 
 def _tile(rows: pa.ListScalar, width) -> dict:
-    """A tile's rows (id, w, vector, filters; the last two as raw bytes) as arrays, vectors in double precision and of length 1."""
+    """A tile's rows (id, w, vector, filters below the tile's; the last two as raw bytes) as arrays, vectors in double precision and of length 1."""
     values = rows.values
     x, filters = ([np.frombuffer(v.as_buffer(), t) for v in values.field(k)] for k, t in (("x", width), ("filters", np.int32)))
     x = np.stack(x).astype(np.float64)
@@ -158,12 +161,13 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, code: int = CODE, cap:
         firsts.mapInArrow(decoded, f"label {label_type}, dim int, id long, w long, x binary, raw binary, filters array<int>"), "vectors"
     )
     key = ["label", "dim", "filter"]
-    spread = coded.select("label", "dim", F.explode("filters").alias("filter"), "id")
+    spread = coded.select("label", "dim", F.posexplode("filters").alias("before", "filter"), "id")
     counts = spread.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
-    member = spread.join(counts, key).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).select(*key, "tiles", "tile", "id")
-    body = coded.select("id", F.struct("id", "w", "x", F.col("raw").alias("filters")).alias("r"))
+    member = spread.join(counts, key).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).select(*key, "tiles", "tile", "id", "before")
+    # A tile asks only whether a pair shares a smaller filter: filters are sorted, so that is the beginning of their bytes.
+    row = F.struct("id", "w", "x", F.substring("raw", F.lit(1), F.col("before") * 4).alias("filters"))
     tiles = written(
-        member.join(body, "id").groupBy(*key, "tiles", "tile").agg(F.collect_list("r").alias("rows")).select("label", "dim", "filter", "tiles", "tile", "rows"), "vectors"
+        member.join(coded.select("id", "w", "x", "raw"), "id").groupBy(*key, "tiles", "tile").agg(F.collect_list(row).alias("rows")).select("label", "dim", "filter", "tiles", "tile", "rows"), "vectors"
     )
     a, b = tiles.where("tiles > 1").alias("a"), tiles.where("tiles > 1").alias("b")
     pairs = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key] + [F.col("a.tile") < F.col("b.tile")]).select(
@@ -180,7 +184,13 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, code: int = CODE, cap:
                 ids, weight, root = _compare(_tile(batch.column(1)[k], width), _tile(others, width) if others.is_valid else None, batch.column(0)[k].as_py(), cosine)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(weight, pa.int64()), pa.array(root, pa.int64())], ["id", "links", "root"])
 
-    found = written(work.mapInArrow(links, "id long, links long, root long"), "vectors")
+    spark = rows.sparkSession
+    per_batch = spark.conf.get(_PER_BATCH)
+    spark.conf.set(_PER_BATCH, min(BATCH_TILES, int(per_batch)) if int(per_batch) > 0 else BATCH_TILES)
+    try:
+        found = written(work.mapInArrow(links, "id long, links long, root long"), "vectors")
+    finally:
+        spark.conf.set(_PER_BATCH, per_batch)
     joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
     per_first = (

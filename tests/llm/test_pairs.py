@@ -135,6 +135,19 @@ def test_recall_at_the_threshold():
     assert np.mean(met) >= 0.98
 
 
+def test_no_more_than_one_link_in_five_hundred_is_missed_at_the_threshold():
+    r = np.random.RandomState(11)
+    x = r.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z = r.normal(size=(6000, 64))
+    z -= (z * x).sum(1)[:, None] * x
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    for cosine, most in ((0.93, 0.002), (0.96, 0.0002)):
+        y = cosine * x + np.sqrt(1 - cosine**2) * z
+        met = [len(np.intersect1d(a, b)) > 0 for a, b in zip(vectors.decode(x), vectors.decode(y))]
+        assert 1 - np.mean(met) <= most
+
+
 def test_vectors_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int, links int")
     assert vectors.near_vectors(df).count() == 0
