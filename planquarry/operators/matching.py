@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -178,23 +180,25 @@ def assign_to_views(features: DataFrame, views: DataFrame) -> DataFrame:
 
 def suppress(boxes: DataFrame, threshold: float, priority: str = "priority") -> DataFrame:
     """Of boxes of one class that overlap by `threshold` the one of higher priority stays (ties: first); a kept box
-    without size takes the size of what it replaces. boxes: (image, pos, cat, box, size, priority)."""
-    row = F.struct((-F.col(priority)).alias("k"), "pos", "box", F.coalesce("size", F.lit("")).alias("size"))
-    listed = boxes.groupBy("image", "cat").agg(F.array_sort(F.collect_list(row)).alias("c"))
-    kept = F.array().cast("array<struct<pos:int,box:array<double>,size:string>>")
-
-    def step(s: Column, x: Column) -> Column:
-        same = lambda k: G.iou(k["box"], x["box"]) >= threshold
-        first = F.array_min(F.transform(F.filter(s, same), lambda k: k["pos"]))
-        filled = F.transform(
-            s,
-            lambda k: F.when(
-                same(k) & (k["size"] == ""), F.struct(k["pos"].alias("pos"), k["box"].alias("box"), x["size"].alias("size"))
-            ).otherwise(k),
-        )
-        fresh = F.struct(x["pos"].cast("int").alias("pos"), x["box"].alias("box"), x["size"].alias("size"))
-        return F.when(first.isNotNull(), filled).otherwise(F.array_append(s, fresh))
-
-    return (
-        listed.select("image", "cat", F.explode(F.aggregate("c", kept, step)).alias("k")).select("image", "cat", "k.pos", "k.box", "k.size")
-    )
+    without size takes the size of what it replaces. boxes: (image, pos, cat, box, size, priority). Works on arrays, one
+    image and class at a time; each kept box is compared with those after it."""
+    types = dict(boxes.dtypes)
+    rows = boxes.select("image", "cat", F.col("pos").cast("int").alias("pos"), F.col("box").cast("array<double>").alias("box"), F.coalesce("size", F.lit("")).alias("size"), (-F.col(priority)).alias("k"), F.col(priority).isNotNull().alias("known"))
+
+    def one(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, sort_keys=[("known", "ascending"), ("k", "ascending"), ("pos", "ascending")]))
+        corners = np.array([b if b is not None and None not in b else [np.nan] * 4 for b in group["box"].to_pylist()], float)
+        sizes = group["size"].to_pylist()
+        sized = np.array([s != "" for s in sizes])
+        left, kept = np.ones(len(sizes), bool), []
+        for k in range(len(sizes)):
+            if left[k]:
+                kept.append(k)
+                same = _overlaps(corners[k : k + 1], corners[k + 1 :])[0] >= threshold
+                left[k + 1 :] &= ~same
+                if not sized[k] and (same & sized[k + 1 :]).any():
+                    sizes[k] = sizes[k + 1 + int((same & sized[k + 1 :]).argmax())]
+        out = group.select(["image", "cat", "pos", "box"]).take(kept)
+        return out.append_column("size", pa.array([sizes[k] for k in kept], pa.string()))
+
+    return rows.groupBy("image", "cat").applyInArrow(one, f"image {types['image']}, cat {types['cat']}, pos int, box array<double>, size string")

@@ -205,5 +205,5 @@ SELECT CAST(image AS BIGINT) AS image, cat, u.pos AS pos FROM (SELECT image, cat
 )
 def overlapping_boxes_suppressed(spark, sf):
     predicted, _ = boxes(spark, sf)
-    ranked = predicted.where("pos <= 60").withColumn("priority", F.when(F.col("size") == "", 1).otherwise(2))
+    ranked = predicted.withColumn("priority", F.when(F.col("size") == "", 1).otherwise(2))
     return M.suppress(ranked, 0.4).select("image", "cat", "pos")

@@ -1,6 +1,7 @@
 """Table operators on small cases, sources, sinks and streams."""
 
 import json
+import random
 import struct
 
 import pytest
@@ -51,6 +52,40 @@ def test_counts_and_suppression(spark):
     assert sorted((r.pos, r.view) for r in M.assign_to_views(p, views).collect()) == [(0, 0), (1, 0), (2, 1)]
 
 
+def test_suppression_runs_over_all_boxes_of_a_drawing(spark, tmp_path):
+    """Drawings of 110 boxes against brute force, by the operator and by the query."""
+    from planquarry.plans import matching as queries
+    from planquarry.plans.boxes import boxes
+
+    r = random.Random(4)
+    lines = [(500 * (k % 110) + k // 110 + 1, k % 7 + 1, r.randrange(1, 400), r.randrange(1, 300), "RAN"[k % 3], "OF"[k % 2], "1995-01-01", float(k)) for k in range(220)]
+    names = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_shipdate string, l_extendedprice double"
+    spark.createDataFrame(lines, names).write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    predicted, _ = boxes(spark, f"file://{tmp_path}")
+    ranked = predicted.withColumn("priority", F.when(F.col("size") == "", 1).otherwise(2))
+    wanted, groups = set(), {}
+    for b in ranked.collect():
+        groups.setdefault((b.image, b.cat), []).append(b)
+
+    def over(p, q):
+        w, h = (max(0, min(p[i + 2], q[i + 2]) - max(p[i], q[i])) for i in (0, 1))
+        return 5 * w * h >= 2 * ((p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - w * h)
+
+    for (image, cat), found in groups.items():
+        kept = []
+        for b in sorted(found, key=lambda b: (-b.priority, b.pos)):
+            same = [k for k in kept if over(k[1], b.box)]
+            for k in same:
+                k[2] = k[2] or b["size"]
+            if not same:
+                kept.append([b.pos, b.box, b["size"]])
+        wanted |= {(image, cat, pos, size) for pos, _, size in kept}
+    assert max(pos for _, _, pos, _ in wanted) > 60 and len(wanted) < ranked.count()
+    assert sorted(wanted) == sorted((k.image, k.cat, k.pos, k["size"]) for k in M.suppress(ranked, 0.4).collect())
+    got = queries.overlapping_boxes_suppressed(spark, f"file://{tmp_path}").collect()
+    assert sorted(w[:3] for w in wanted) == sorted(tuple(k) for k in got)
+
+
 def test_scores(spark):
     row = spark.range(1).select(
         S.f1(F.lit(0), F.lit(0), F.lit(0)).alias("a"), S.refined_reward(F.lit(0.5), F.lit(0.9)).alias("b"), S.penalised_quality(F.lit(1.5), F.lit(2), F.lit(3), F.lit(2)).alias("c"),
