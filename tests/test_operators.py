@@ -241,3 +241,13 @@ def test_match_equals_the_folds(spark):
         assert listed(M.match(p, g, 0.2, "prediction", same)) == listed(M.in_prediction_order(c))
         assert listed(M.match(p, g, 0.2, "truth", same)) == listed(M.in_truth_order(c))
     assert M.match(p.limit(0), g, 0.2).count() == 0
+
+
+def test_the_stream_ranks_all_results_as_the_batch_query_does(spark, tmp_path):
+    from planquarry.plans import streams
+
+    rows = [(k, 40 + k % 30, float((k * 7919) % 1000)) for k in range(200)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(f"file://{tmp_path}/events.parquet")
+    batch = streams.results_ranked(spark, f"file://{tmp_path}").collect()
+    stream = streams.results_ranked_as_they_come(spark, f"file://{tmp_path}").select("checkpoint", "step", "rank").collect()
+    assert len(batch) == 30 and sorted(map(tuple, stream)) == sorted(map(tuple, batch))
