@@ -5,8 +5,8 @@
    KEYS rarest words that occur in the corpus at all.
 3. A file's hits meet the template postings; hits that agree on (file position - template position) vote
    for the template at that place.
-4. A place with at least VOTES of the template's key words is verified: the words of the mandatory phrase
-   must stand at their places relative to it.
+4. A place with at least VOTES of the template's key words is verified: every word of the mandatory phrase,
+   common or short ones too, must stand at its place relative to it.
 
 The three base phrases are templates that are their own mandatory phrase, so all of their places are found
 exactly. Every file keeps its whole text's hits; nothing is cut off.
@@ -56,6 +56,32 @@ def _places() -> list[tuple]:
     return out
 
 
+def _phrases() -> list[tuple[int, int, str]]:
+    """(template, position, word) of every word of the mandatory phrases, indexed or not."""
+    out = []
+    for k, (_, _, words, must) in enumerate(TEMPLATES):
+        all_words, phrase = words.split(), must.split()
+        begin = next(i for i in range(len(all_words)) if all_words[i : i + len(phrase)] == phrase)
+        out += [(k, begin + i, w) for i, w in enumerate(phrase)]
+    return out
+
+
+def _unindexed() -> tuple[set[str], set[str], set[str]]:
+    """Words of mandatory phrases without index; these with the word after them; those that end a phrase.
+
+    Such words are frequent, so a hit is kept only before the word that follows in a phrase."""
+    words, pairs, last = set(), set(), set()
+    for *_, must in TEMPLATES:
+        phrase = must.split()
+        for i in set(range(len(phrase))) - {i for i, _ in _indexed(must)}:
+            words.add(phrase[i])
+            if i + 1 < len(phrase):
+                pairs.add(f"{phrase[i]} {phrase[i + 1]}")
+            else:
+                last.add(phrase[i])
+    return words, pairs, last
+
+
 def scan(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """Per row: n_words, n_base, first_word, last_word, base_labels, labels, score, places.
 
@@ -68,9 +94,13 @@ def scan(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFra
     vocabulary = sorted({p[3] for p in places})
     low = F.translate(F.coalesce(F.col(text), F.lit("")), ASCII_UPPER, ASCII_LOWER)
     words = F.filter(F.split(low, SEPARATORS), lambda w: w != "")
-    hits = F.filter(
-        F.transform("words", lambda w, i: F.struct(i.cast("int").alias("pos"), w.alias("w"))), lambda x: x["w"].isin(vocabulary)
-    )
+    common, pairs, last = (sorted(s) for s in _unindexed())
+
+    def hit(x):
+        in_phrase = F.concat(x["w"], F.lit(" "), F.get("words", x["pos"] + 1)).isin(pairs) | x["w"].isin(last)
+        return x["w"].isin(vocabulary) | (x["w"].isin(common) & F.coalesce(in_phrase, F.lit(False)))
+
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(i.cast("int").alias("pos"), w.alias("w"))), hit)
     files = written(
         docs.select(F.col(row_id).alias("row_id"), F.monotonically_increasing_id().alias("row"), words.alias("words"))
         .select("row_id", "row", F.size("words").cast("long").alias("n_words"), hits.alias("hits")),
@@ -91,7 +121,7 @@ def scan(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFra
     )
     postings = template.join(F.broadcast(keys), ["template", "w"]).select("template", "label", "base", "w", "tpos")
     sizes = postings.groupBy("template").agg(F.count(F.lit(1)).alias("n_keys"))
-    must = template.where("must").groupBy("template").agg(F.sort_array(F.collect_list(F.struct("tpos", "w"))).alias("phrase"))
+    must = spark.createDataFrame(_phrases(), "template int, tpos int, w string").groupBy("template").agg(F.sort_array(F.collect_list(F.struct("tpos", "w"))).alias("phrase"))
     postings = postings.join(F.broadcast(sizes), "template")
     votes = (
         seen.select("row", F.explode("hits").alias("h"))

@@ -343,3 +343,23 @@ def test_null_ids_everywhere(spark, tmp_path):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, sf).count() >= 1
+
+
+def test_every_word_of_a_mandatory_phrase_counts(spark):
+    from planquarry.llm import licenses
+
+    rest = "source and binary forms with or without modification are permitted"
+    rows = [
+        (1, "All rights reserved.", "proprietary", 1.0),
+        (2, "Some rights reserved.", "", 0.5),
+        (3, "no rights reserved, all of them", "", 0.5),
+        (4, "rights reserved", "", 0.5),
+        (5, f"Redistribution and use in {rest}", "bsd", 1.0),
+        (6, f"Redistribution nor use of {rest}", "", 0.5),
+        (7, "Permission to use, copy, modify and or distribute this software for any purpose", "isc", 1.0),
+        (8, "Permission never use, copy, modify and or distribute this software for any purpose", "", 0.5),
+        (9, "all all rights reserved", "proprietary", 1.0),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
+    assert got == {i: (labels, score) for i, _, labels, score in rows}
