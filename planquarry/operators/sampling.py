@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterable
 
 import pandas as pd
@@ -59,49 +61,58 @@ def dominant(rows: DataFrame, by: str, category: str, order: str) -> DataFrame:
     return n.groupBy(by).agg(F.max_by(category, F.struct("n", -F.col("first"), F.col(category))).alias(category))
 
 
-def _cover(pool: pd.DataFrame, targets: list[str], n: int) -> Iterable[int]:
-    """Greedy cover: the least covered target in turn, its row that covers most open targets, then lowest rank."""
-    pool = pool.sort_values(["rank", "index"])
-    rows = [(int(i), frozenset(ls) & frozenset(targets)) for i, ls in zip(pool["index"], pool["labels"])]
-    holders = {t: [k for k, (_, ls) in enumerate(rows) if t in ls] for t in targets}
-    covered, used, out = dict.fromkeys(targets, 0), set(), []
+def _hash(seed: int, namespace: str, index: int) -> int:
+    """`text.stable_rank` of one index."""
+    return int.from_bytes(hashlib.sha256(f"{seed}\0{namespace}\0{index}".encode()).digest()[:8], "big")
+
+
+def _cover(pool: pd.DataFrame, targets: list[str], available: dict[str, int], n: int, seed: int, namespace: str) -> Iterable[int]:
+    """Greedy cover: the least covered target in turn (ties: the rarest of the pool, then by hash), its row of the largest
+    sum of 1 / (1 + covered) over its targets, then of the lowest rank; rows in order of `filler` fill up."""
+    queues: dict[frozenset, list] = {}
+    for row in pool.sort_values(["rank", "index"]).itertuples(index=False):
+        if len(row.held):
+            queues.setdefault(frozenset(row.held), []).append((int(row.rank), int(row.index)))
+    heads = dict.fromkeys(queues, 0)
+    tie = {t: (available.get(t, 0), _hash(seed, f"{namespace}:target", k)) for k, t in reversed(list(enumerate(targets)))}
+    covered, out = dict.fromkeys(targets, 0), []
     while len(out) < n:
-        open_ = [t for t in targets if any(k not in used for k in holders[t])]
+        open_ = [held for held, q in queues.items() if heads[held] < len(q)]
         if not open_:
             break
-        target = min(open_, key=lambda t: (covered[t], targets.index(t)))
-        least = covered[target]
-        k = max((k for k in holders[target] if k not in used), key=lambda k: (sum(covered[t] <= least for t in rows[k][1]), -k))
-        used.add(k)
-        out.append(rows[k][0])
-        for t in rows[k][1]:
+        target = min(set().union(*open_), key=lambda t: (covered[t], *tie[t]))
+        # The gain depends on a row's targets only, so the first free row of each set of targets stands for all of them.
+        gain = lambda held: math.fsum(1 / (1 + covered[t]) for t in held)
+        rank = lambda held: queues[held][heads[held]]
+        best = min((held for held in open_ if target in held), key=lambda held: (-gain(held), *rank(held)))
+        out.append(rank(best)[1])
+        heads[best] += 1
+        for t in best:
             covered[t] += 1
-    for k, (i, _) in enumerate(rows):
-        if len(out) >= n:
-            break
-        if k not in used:
-            used.add(k)
-            out.append(i)
-    return out
+    used = set(out)
+    rest = [int(i) for i in pool.sort_values(["filler", "index"])["index"] if int(i) not in used]
+    return out + rest[: n - len(out)]
 
 
-def balanced_select(pool: DataFrame, targets: list[str], n: int, seed: int, namespace: str, finalists: int = 50) -> DataFrame:
-    """n rows that cover the targets evenly. pool: (index, labels array<string>).
+def balanced_select(pool: DataFrame, targets: list[str], n: int, seed: int, namespace: str) -> DataFrame:
+    """n rows that cover the targets evenly. pool: (index, labels array<string>), an index once.
 
-    The choice is sequential, so it runs on finalists: per target the first `finalists` * n rows in hash order, and as
-    many of all rows. More rows of one target can never be chosen than n, so the cut changes nothing but ties among
-    rows of many labels.
+    The choice is sequential, so it runs on finalists: the first n rows in hash order of each distinct set of targets, and
+    the first n of all in the fillers' order. Rows of equal targets have equal gains and go by hash, and no more than n
+    are chosen, so this is exact.
     """
-    most = n * finalists
-    ranked = pool.withColumn("rank", X.stable_rank(seed, namespace, F.col("index")))
-    each = ranked.withColumn("t", F.explode(F.array_intersect("labels", F.array(*[F.lit(t) for t in targets]))))
-    w = Window.partitionBy("t").orderBy("rank", "index")
-    few = each.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("index", "labels", "rank")
-    any_ = ranked.select("index", "labels", "rank").orderBy("rank", "index").limit(most)
-    finals = few.unionByName(any_).dropDuplicates(["index"])
+    held = F.array_sort(F.array_distinct(F.array_intersect("labels", F.array(*[F.lit(t) for t in targets]).cast("array<string>"))))
+    ranked = pool.select(
+        "index", F.coalesce(held, F.array().cast("array<string>")).alias("held"), X.stable_rank(seed, namespace, F.col("index")).alias("rank"), X.stable_rank(seed + 1, f"{namespace}:filler", F.col("index")).alias("filler")
+    )
+    # As many rows as targets.
+    available = {r.t: r["count"] for r in ranked.select(F.explode("held").alias("t")).groupBy("t").count().collect()}
+    w = Window.partitionBy("held").orderBy("rank", "index")
+    few = ranked.where(F.size("held") > 0).withColumn("k", F.row_number().over(w)).where(F.col("k") <= n).drop("k")
+    finals = few.unionByName(ranked.orderBy("filler", "index").limit(n)).dropDuplicates(["index"])
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = list(_cover(pdf, targets, n))
+        got = list(_cover(pdf, targets, available, n, seed, namespace))
         return pd.DataFrame({"turn": range(len(got)), "index": got})
 
     return finals.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(choose, "turn long, index long")

@@ -1,6 +1,7 @@
 """Table operators on small cases, sources, sinks and streams."""
 
 import json
+import math
 import random
 import struct
 
@@ -251,3 +252,31 @@ def test_the_stream_ranks_all_results_as_the_batch_query_does(spark, tmp_path):
     batch = streams.results_ranked(spark, f"file://{tmp_path}").collect()
     stream = streams.results_ranked_as_they_come(spark, f"file://{tmp_path}").select("checkpoint", "step", "rank").collect()
     assert len(batch) == 30 and sorted(map(tuple, stream)) == sorted(map(tuple, batch))
+
+
+@pytest.mark.parametrize("n", [2, 5, 30])
+def test_balanced_selection_is_greedy_over_the_whole_pool(spark, n):
+    """All candidates in every turn, on a pool of more than 50 * n rows of a target for the smallest n."""
+    r, targets = random.Random(n), ["a", "b", "c", "d"]
+    rows = [(k, ["a"] if r.random() < 0.8 else r.sample(["a", "b", "c", "d", "x", "y"], r.randrange(4))) for k in range(400)] + [(400, None), (401, ["a", "b", "c", "d"])]
+    own = {i: set(held or []) & set(targets) for i, held in rows}
+    rank = lambda i: P._hash(7, "t", i)
+    covered, out = dict.fromkeys(targets, 0), []
+    while len(out) < n and (left := [i for i in own if i not in out and own[i]]):
+        viable = [t for t in targets if any(t in own[i] for i in left)]
+        target = min(viable, key=lambda t: (covered[t], sum(t in h for h in own.values()), P._hash(7, "t:target", targets.index(t))))
+        best = max((i for i in left if target in own[i]), key=lambda i: (math.fsum(1 / (1 + covered[t]) for t in own[i]), -rank(i)))
+        out.append(best)
+        for t in own[best]:
+            covered[t] += 1
+    pool = spark.createDataFrame(rows, "index long, labels array<string>")
+    got = P.balanced_select(pool, targets, n, 7, "t").orderBy("turn").collect()
+    assert [g["index"] for g in got] == out
+    assert spark.range(1).select(P.X.stable_rank(7, "t", F.lit(3))).first()[0] == rank(3)
+
+
+def test_balanced_selection_fills_up_in_the_order_of_fillers(spark):
+    rows = [(k, ["a"] if k < 3 else []) for k in range(60)]
+    got = P.balanced_select(spark.createDataFrame(rows, "index long, labels array<string>"), ["a"], 10, 7, "t").orderBy("turn").collect()
+    rest = sorted(range(3, 60), key=lambda i: P._hash(8, "t:filler", i))
+    assert [g["index"] for g in got] == [*sorted(range(3), key=lambda i: P._hash(7, "t", i)), *rest[:7]]
