@@ -192,6 +192,16 @@ def records_aligned(spark, sf):
     return R.align(truth, predictions)
 
 
+@query("records_aligned_all")
+def records_aligned_all(spark, sf):
+    """All orders on both sides, with different key lists: a true record asks by day and customer, a prediction names customer, priority and day."""
+    day, customer, priority = (F.concat(F.lit(n), F.col(c).cast("string")) for n, c in (("d", "o_orderdate"), ("c", "o_custkey"), ("p", "o_orderpriority")))
+    orders = table(spark, sf, "orders")
+    predictions = orders.select(F.col("o_orderkey").alias("pos"), F.array(customer, priority, day).alias("keys"))
+    truth = orders.select(F.col("o_orderkey").alias("pos"), F.array(day, customer).alias("keys"))
+    return R.align(truth, predictions)
+
+
 @query(
     "sources_merged",
     """WITH r AS (SELECT l_orderkey % 200 AS image, concat('s', l_suppkey % 3) AS source, 't' AS task, l_returnflag AS cat, CASE WHEN l_linenumber = 1 THEN '' WHEN l_partkey % 2 = 0 THEN concat('M', l_partkey % 5) ELSE concat('', l_partkey % 5) END AS size,

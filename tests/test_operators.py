@@ -280,3 +280,21 @@ def test_balanced_selection_fills_up_in_the_order_of_fillers(spark):
     got = P.balanced_select(spark.createDataFrame(rows, "index long, labels array<string>"), ["a"], 10, 7, "t").orderBy("turn").collect()
     rest = sorted(range(3, 60), key=lambda i: P._hash(8, "t:filler", i))
     assert [g["index"] for g in got] == [*sorted(range(3), key=lambda i: P._hash(7, "t", i)), *rest[:7]]
+
+
+def test_all_orders_are_aligned(spark):
+    """Every order on both sides, against records taken in turn."""
+    from planquarry.plans import records
+
+    sf = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey AS k", "concat('d', o_orderdate) AS d", "concat('c', o_custkey) AS c", "concat('p', o_orderpriority) AS p").orderBy("k").collect()
+    own, free, wanted = {}, {o.k for o in orders}, []
+    for o in orders:
+        for key in (o.c, o.p, o.d):
+            own.setdefault(key, o.k)
+    for o in orders:
+        key = next((key for key in (o.d, o.c) if own[key] in free), None)
+        free -= {own[key]} if key else set()
+        wanted.append((o.k, own[key] if key else None, key))
+    got = sorted(tuple(r) for r in records.records_aligned_all(spark, sf).select("truth", "prediction", "key").collect())
+    assert got == sorted(wanted) and len(got) == len(orders)
