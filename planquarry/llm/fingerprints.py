@@ -6,7 +6,8 @@ neighbour, twice more, which leaves small labels of which neighbours differ; str
 these, and nothing else, begin phrases. Phrases are named by hashes of their symbols, and the names are
 parsed again, level by level. A cut depends on a few symbols around it only, so equal substrings get equal
 interior phrases wherever they stand. The fingerprint holds, for SLOTS hash functions in one (the name's
-low bits choose the slot), the smallest name among the phrases of the levels in LEVELS.
+low bits choose the slot), the smallest name among the phrases of the highest level in LEVELS that has one for the
+slot: long texts fill nearly all slots from level 3, short ones the rest from the shorter phrases below.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import frugal, table
 
-LEVELS = (3,)
+LEVELS = (1, 2, 3)
 SLOTS = 64
 #: Bytes of text that are parsed together.
 BLOCK = 1 << 20
@@ -111,7 +112,8 @@ def _signatures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             order = np.argsort(slot, kind="stable")
             slot, value = slot[order], value[order]
             cut = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
-            out[slot[cut]] = np.minimum(out[slot[cut]], np.minimum.reduceat(value, cut))
+            # A higher level replaces what lower ones left in a slot.
+            out[slot[cut]] = np.minimum.reduceat(value, cut)
     return out.reshape(n, SLOTS)
 
 

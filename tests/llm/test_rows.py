@@ -224,6 +224,17 @@ def test_phrases_do_not_depend_on_the_offset():
     assert fingerprints.likeness(plain[None], other[None])[0] < 0.1
 
 
+def test_short_texts_share_phrases_with_their_edited_halves():
+    """Half of a text of 20 to 60 bytes stays as it is; hardly any fingerprint may lose all of it."""
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(2000)]
+    texts = [" ".join(r.choice(words) for _ in range(30))[: r.randint(20, 60)] for _ in range(400)]
+    edited = [t[: len(t) - len(t) // 2] + o[: len(t) // 2] for t, o in zip(texts, texts[1:] + texts[:1])]
+    own, marks = (fingerprints.signatures([t.encode() for t in ts]) for ts in (texts, edited))
+    assert (fingerprints.likeness(own, marks) == 0).mean() <= 0.02
+    assert fingerprints.likeness(own, np.roll(own, -1, 0)).mean() < 0.02
+
+
 def test_fingerprints_empty(spark):
     assert fingerprints.edited_pairs(frame(spark, [])).count() == 0
     one = fingerprints.edited_pairs(frame(spark, [(4, None)])).collect()
