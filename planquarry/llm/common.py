@@ -14,15 +14,19 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Rows of an Arrow batch: texts may be long, and a batch is held by the JVM and by Python.
+#: Rows and bytes of an Arrow batch: texts may be long, and a batch is held by the JVM and by Python.
 BATCH_ROWS = 2000
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS if they are larger."""
+    """Lower the session's Arrow batches to BATCH_ROWS rows and about BATCH_BYTES bytes if they are larger."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
 def _release() -> None:

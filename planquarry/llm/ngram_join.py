@@ -11,11 +11,12 @@ texts alike, hence costs time and loses nothing.
 3. Stars: each node is verified against the hub of most of its (token, size band) buckets; a bucket's hub is the
    node with the smallest share of tokens of its own.
 4. Tiles: buckets whose nodes are still in several components are cut into size-banded tiles; within tiles and
-   between tiles of neighbouring bands, bitmap signatures bound every overlap from above by bit counts, and
-   what is left is verified by exact intersection of sorted arrays.
+   between tiles of neighbouring bands, bitmap signatures bound every overlap from above by bit counts. The nodes
+   with a partner left (not the pairs) get their sorted arrays, and exact intersections, likeliest first, give
+   links that span what is linked in the tile.
 
 Components need no more links than that: two nodes in one component already are not compared again, so groups
-of thousands of copies cost about one comparison per member.
+of thousands of copies cost about one comparison per member, and no step writes pairs of nodes.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ SHARE = 75  # percent
 WORDS = 5
 #: A shingle in at least this many rows is frequent.
 FREQUENT = 9
-TILE = 128
+TILE = 256
+#: Tokens of a tile's sets.
+TILE_TOKENS = 1 << 19
 _U = np.uint64
 _MASK = _U((1 << 48) - 1)
 
@@ -204,10 +207,23 @@ def _folded(maps: list[bytes], size: int) -> np.ndarray:
     return out.view(_U)
 
 
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _bound(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """No more tokens than this are shared by sets of n and m tokens with these bitmaps (rows of words)."""
+    # A bit that only one of them has set stands for at least one token that the other lacks.
+    only = [np.bitwise_count(p & ~q).sum(1, dtype=np.int64) for p, q in ((x, y), (y, x))]
+    return np.minimum(n - only[0], m - only[1])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of nodes those with 100 |A n B| >= SHARE |A u B|: (a, b)."""
-    left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb"))
+    """Of pairs (a, b) of nodes those with 100 |A n B| >= SHARE |A u B|: (a, b). Bit counts first, then the arrays."""
+    left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta"), F.col("bitmap").alias("ba"))
+    right = sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb"), F.col("bitmap").alias("bb"))
 
     @frugal
 
@@ -216,19 +232,37 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = np.zeros(b.num_rows, bool)
             for k in range(b.num_rows):
                 x, y = (np.frombuffer(b.column(c)[k].as_buffer(), _U) for c in (2, 3))
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                ok[k] = 100 * shared >= SHARE * (len(x) + len(y) - shared)
+                maps = [b.column(c)[k].as_py() for c in (4, 5)]
+                maps = _folded(maps, min(map(len, maps)))
+                n, m = len(x), len(y)
+                most = _bound(maps[:1], maps[1:], np.array([n]), np.array([m]))[0]
+                if 100 * most >= SHARE * (n + m - most):
+                    shared = _overlap(x, y)
+                    ok[k] = 100 * shared >= SHARE * (n + m - shared)
             b = b.filter(pa.array(ok))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", "ba", "bb").mapInArrow(run, "a long, b long")
 
 
-def _bounded(tiles: DataFrame, best: bool) -> DataFrame:
-    """Pairs of nodes of tile pairs (rows, others; others null: within rows) of unequal components that bit counts don't
-    rule out; `best`: of each component only the pair with the highest bound."""
+def _candidates(n, m, c, d, x, y, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, bound) of the pairs of unequal components that sizes and bit counts don't rule out."""
+    fit = (100 * np.minimum.outer(n, m) >= SHARE * np.maximum.outer(n, m)) & (c[:, None] != d[None, :])
+    if same:
+        fit &= np.triu(np.ones(fit.shape, bool), 1)
+    u, v = np.nonzero(fit)
+    shared = np.empty(len(u), np.int64)
+    for i in range(0, len(u), 1 << 14):
+        p, q = u[i : i + (1 << 14)], v[i : i + (1 << 14)]
+        shared[i : i + (1 << 14)] = _bound(x[p], y[q], n[p], m[q])
+    fine = 100 * shared >= SHARE * (n[u] + m[v] - shared)
+    return u[fine], v[fine], shared[fine]
+
+
+def _bounded(tiles: DataFrame) -> DataFrame:
+    """(bucket, key, comp): of each tile or pair of tiles (rows, others; others null: within rows) the nodes that have a
+    partner of another component left by the bit counts. A node is one row of a tile, however many partners it has.
+    Equal sets of nodes are one bucket."""
 
     @frugal
 
@@ -240,49 +274,86 @@ def _bounded(tiles: DataFrame, best: bool) -> DataFrame:
                 others = rows if same else others
                 n, m = (np.array([r["n"] for r in t], np.int64) for t in (rows, others))
                 c, d = (np.array([r["comp"] for r in t], np.int64) for t in (rows, others))
-                fit = (100 * np.minimum.outer(n, m) >= SHARE * np.maximum.outer(n, m)) & (c[:, None] != d[None, :])
-                if same:
-                    fit &= np.triu(np.ones(fit.shape, bool), 1)
-                u, v = np.nonzero(fit)
-                if len(u):
-                    size = min(len(r["bitmap"]) for r in rows + others)
-                    x, y = _folded([r["bitmap"] for r in rows], size), _folded([r["bitmap"] for r in others], size)
-                    shared = np.empty(len(u), np.int64)
-                    for i in range(0, len(u), 1 << 14):
-                        a, b = x[u[i : i + (1 << 14)]], y[v[i : i + (1 << 14)]]
-                        only = [np.bitwise_count(p & ~q).sum(1, dtype=np.int64) for p, q in ((a, b), (b, a))]
-                        # A bit that only A has set stands for at least one token that B lacks.
-                        shared[i : i + (1 << 14)] = np.minimum(n[u[i : i + (1 << 14)]] - only[0], m[v[i : i + (1 << 14)]] - only[1])
-                    fine = 100 * shared >= SHARE * (n[u] + m[v] - shared)
-                    u, v, shared = u[fine], v[fine], shared[fine]
-                    if best and len(u):
-                        order = np.argsort(-shared, kind="stable")
-                        ends = np.stack([c[u], d[v]], axis=1)[order].ravel()
-                        chosen = order[np.unique(np.unique(ends, return_index=True)[1] // 2)]
-                        u, v = u[chosen], v[chosen]
-                a = np.array([rows[i]["key"] for i in u], np.int64)
-                b = np.array([others[i]["key"] for i in v], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return tiles.mapInArrow(run, "a long, b long").distinct()
+                size = min(len(r["bitmap"]) for r in rows + others)
+                x, y = _folded([r["bitmap"] for r in rows], size), _folded([r["bitmap"] for r in others], size)
+                u, v, _ = _candidates(n, m, c, d, x, y, same)
+                met = {rows[i]["key"]: rows[i]["comp"] for i in np.unique(u).tolist()} | {others[i]["key"]: others[i]["comp"] for i in np.unique(v).tolist()}
+                if met:
+                    keys = np.array(sorted(met), np.int64)
+                    bucket = mix(mix(keys.view(_U)).sum(dtype=_U, keepdims=True) + _U(len(keys))).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(bucket, len(keys))), pa.array(keys), pa.array([met[x] for x in keys.tolist()], pa.int64())], ["bucket", "key", "comp"]
+                    )
+
+    return tiles.mapInArrow(run, "bucket long, key long, comp long").dropDuplicates(["bucket", "key"])
+
+
+def _spanning(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect, inside each bucket, what its exact links connect: fewer than it has nodes. A pair whose
+    ends are connected already is not compared."""
+
+    @frugal_group
+
+    def run(key, rows):
+        keys, comps = rows.column("key").to_pylist(), rows.column("comp").to_numpy()
+        tokens = [np.frombuffer(x.as_buffer(), _U) for x in rows.column("tokens").combine_chunks()]
+        maps = rows.column("bitmap").to_pylist()
+        n = np.array([len(x) for x in tokens], np.int64)
+        bits = _folded(maps, min(map(len, maps)))
+        u, v, shared = _candidates(n, n, comps, comps, bits, bits, True)
+        root = {c: c for c in comps.tolist()}
+
+        def top(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        for i in np.argsort(-shared, kind="stable").tolist():
+            a, b = int(u[i]), int(v[i])
+            p, q = top(int(comps[a])), top(int(comps[b]))
+            if p != q:
+                both = _overlap(tokens[a], tokens[b])
+                if 100 * both >= SHARE * (n[a] + n[b] - both):
+                    root[p] = q
+                    out.append((keys[a], keys[b]))
+        a, b = zip(*out) if out else ((), ())
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    one = sets.dropDuplicates(["key"])
+    return met.join(one, "key").select("bucket", "key", "comp", "tokens", "bitmap").groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
 def _tiles(postings: DataFrame, known: DataFrame, bits: DataFrame) -> DataFrame:
     """Tiles and pairs of tiles (rows, others) of the buckets whose nodes are in several components."""
-    placed = postings.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    open_ = (
-        placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi")
-        .select("token", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
+    placed = postings.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key")).withColumn("band", _band())
+    banded = placed.groupBy("token", "band").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens")
+    )
+    # A band of a bucket is open if there are several components in it and its neighbours.
+    near = banded.select("token", F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"), "lo", "hi")
+    near = near.groupBy("token", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token", "band")
+    open_ = written(banded.join(near, ["token", "band"]).select("token", "band", "rows", "tokens"), "ngram")
+    whole = open_.groupBy("token").agg((F.sum("rows").alias("all_rows")), F.sum("tokens").alias("all_tokens"))
+    open_ = open_.join(whole, "token").select(
+        "token",
+        "band",
+        F.when((F.col("all_rows") <= TILE) & (F.col("all_tokens") <= TILE_TOKENS), 0)
+        .otherwise(F.ceil(F.greatest(F.col("rows") / TILE, F.col("tokens") / TILE_TOKENS)))
+        .cast("int").alias("tiles"),
+    )
+    member = written(
+        placed.join(open_, ["token", "band"]).select("token", "tiles", "band", F.struct("key", "n", "comp").alias("m")), "ngram"
     )
-    tile = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int").alias("tile")
-    member = written(placed.join(open_, "token").select("token", "tiles", _band().alias("band"), tile, F.struct("key", "n", "comp").alias("m")), "ngram")
     with_bits = lambda rows: rows.join(bits, rows.m.key == bits.key).select(*rows.columns[:-1], F.struct("m.key", "m.n", "m.comp", "bitmap").alias("m"))
     # A small bucket is one tile; buckets of the same nodes (the tokens of a shared passage) are one bucket.
-    small = member.where("tiles = 1").groupBy("token").agg(F.sort_array(F.collect_list("m")).alias("members")).select("members").distinct()
+    small = member.where("tiles = 0").groupBy("token").agg(F.sort_array(F.collect_list("m")).alias("members")).select("members").distinct()
     small = with_bits(small.select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("m"))).groupBy("bucket").agg(F.collect_list("m").alias("rows"))
     # In a large one a tile holds one size band's share of the nodes.
+    tile = F.pmod(F.xxhash64("m.key"), F.col("tiles")).cast("int").alias("tile")
     large = written(
-        with_bits(member.where("tiles > 1").select("token", "band", "tile", "m")).groupBy("token", "band", "tile").agg(F.collect_list("m").alias("rows")), "ngram"
+        with_bits(member.where("tiles > 0").select("token", "band", tile, "m")).groupBy("token", "band", "tile").agg(F.collect_list("m").alias("rows")), "ngram"
     )
     same = [F.col("a.token") == F.col("b.token"), F.expr("(a.band = b.band AND a.tile < b.tile) OR a.band + 1 = b.band")]
     across = large.alias("a").join(large.alias("b"), same).select(F.col("a.rows").alias("rows"), F.col("b.rows").alias("others"))
@@ -338,10 +409,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, text: str = "text",
     links = written(_verified(best, sets), "ngram")
     known = roots(links.distinct())
     bits = sets.select("key", "bitmap").dropDuplicates(["key"])
-    # First the likeliest pair of each two components, which joins what belongs together; then all pairs left.
-    for best_only in (True, False):
-        more = _verified(written(_bounded(_tiles(postings, known, bits), best_only), "ngram"), sets)
-        known = merged(known, more)
+    met = written(_bounded(_tiles(postings, known, bits)), "ngram")
+    known = merged(known, _spanning(met, sets))
     comps = nodes.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     comps = written(comps, "ngram")
     # Written, so that a join on a component of very many sets can be split.

@@ -104,7 +104,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.
         out[bounds[d] : bounds[d + 1]] = part
     for d in np.flatnonzero(short):
         part = h[at[d] : at[d + 1]]
-        out[bounds[d]] = mix((part * weight[: len(part)]).sum(dtype=_U) + _U(len(part)))
+        out[bounds[d]] = mix((part * weight[: len(part)]).sum(dtype=_U, keepdims=True) + _U(len(part)))[0]
     new = np.ones(len(out), bool)
     new[1:] = out[1:] != out[:-1]
     new[bounds[:-1][take > 0]] = True
