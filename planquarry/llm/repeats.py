@@ -7,9 +7,10 @@ windows have equal anchors at equal places. Neighbouring windows with one anchor
 2. The others meet by anchor. Of equal segments all but the first repeat in full. What is left are the first
    copies of segments that share an anchor and differ somewhere.
 3. Those segments' bytes meet by anchor. Each task builds their suffix array and Burrows-Wheeler transform, and
-   expands intervals breadth first by backward extension: step l settles the borders between suffixes whose common
-   prefix has exactly l bytes, from the borders settled at l - 1. It stops at `length`; suffixes without a border
-   between them share at least that much, and all but the first in (document, start) repeat.
+   expands a queue of intervals breadth first by backward extension: step l extends the intervals queued at l - 1
+   by the bytes before them; right borders that are new are common prefixes of exactly l bytes. It stops at
+   `length`; suffixes without a border between them share at least that much, and all but the first in
+   (document, start) repeat.
 
 Bloom filters of bounded size carry counts and chosen segments back to the texts: their false positives add work
 and change nothing. Anchors of very many segments are split by a second anchor inside the windows.
@@ -114,7 +115,7 @@ def _split(s: Segments, keys: np.ndarray, hot: np.ndarray):
     return join(doc, doc[own]), join(lo, t.lo + begin), join(hi, t.hi + begin), join(keys, second), join(content, part)
 
 
-_FIELDS = [("key", _U), ("content", _U), ("doc_id", np.int64), ("mark", np.uint32), ("lo", np.uint32), ("span", np.uint8)]
+_FIELDS = [("key", _U), ("content", _U), ("doc_id", np.int64), ("mark", _U), ("lo", np.uint32), ("span", np.uint8)]
 
 
 def _send(parts: int, columns: dict, rows=None) -> pa.RecordBatch:
@@ -149,7 +150,7 @@ def _spans(c: dict, rows: np.ndarray, kind: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(c["doc_id"][rows], pa.int64()),
-            pa.array(c["mark"][rows].astype(np.int64)),
+            pa.array(c["mark"][rows].view(np.int64)),
             pa.array(c["lo"][rows].astype(np.int64)),
             pa.array(c["span"][rows].astype(np.int32)),
             pa.array(np.full(len(rows), kind, np.int32)),
@@ -162,7 +163,7 @@ def _segments(batches, length, several, frequent):
     """Per block: (columns of the segments whose anchors occur more than once, the block)."""
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
-        marks = (b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) & 0xFFFFFFFF).astype(np.uint32)
+        marks = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
         for at, data, offsets in blocks(b):
             s = Segments(data, offsets, length)
             keys = s.keys()
@@ -184,7 +185,7 @@ def _segments(batches, length, several, frequent):
 
 def _place(c: dict) -> np.ndarray:
     """One number for a segment's document and place."""
-    return mix(c["doc_id"].view(_U) * _U(0x9E3779B97F4A7C15) + mix(c["mark"].astype(_U) << _U(32) | c["lo"].astype(_U)))
+    return mix(c["doc_id"].view(_U) * _U(0x9E3779B97F4A7C15) + mix(c["mark"] + mix(c["lo"].astype(_U))))
 
 
 def suffix_order(text: np.ndarray, ends: np.ndarray, reach: int) -> np.ndarray:
@@ -213,31 +214,49 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, reach: int) -> np.ndarray:
 
 
 def long_prefixes(text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array, border[i]: do suffixes i-1 and i share fewer than `length` bytes?), by interval expansion on the
-    Burrows-Wheeler transform. Suffixes that stop before `length` have borders on both sides."""
+    """(suffix array, border[i]: do suffixes i-1 and i share fewer than `length` bytes?), by breadth-first interval
+    expansion on the Burrows-Wheeler transform. Suffixes that stop before `length` have borders on both sides.
+
+    The queue holds the intervals of strings of l bytes whose right border was new. Extending one by each byte that
+    stands before its suffixes gives intervals of l + 1 bytes; a right border not yet known is a common prefix of
+    exactly l bytes, and its interval is queued. A closing 0 differs from any other, so each is an interval of its own.
+    """
     n = len(text)
-    # Borders under `length` need no order beyond it.
     order = suffix_order(text, ends, length)
     place = np.empty(n, np.int32)
     place[order] = np.arange(n, dtype=np.int32)
-    # Backward extension maps a suffix to the one a byte longer; `after` is its inverse: the suffix without the first byte.
-    after = place[np.minimum(order + 1, n - 1)]
-    first = text[order]
-    border = np.ones(n, bool)
-    border[1:] = (first[1:] != first[:-1]) | (first[1:] == 0)
-    open_ = np.flatnonzero(~border)
-    here, before = after[open_], after[open_ - 1]
+    # The transform: the byte before each suffix, and the suffix that begins with it.
+    back = order - 1
+    bwt = text[back].astype(np.int16)
+    bwt[back < 0] = 0
+    longer = place[back]
+    shorter = place[np.minimum(order + 1, n - 1)]
+    first = text[order].astype(np.int16)
+    owner = np.empty(n, np.int32)
+    border = np.zeros(n + 1, bool)
+    border[[0, n]] = True
+    # Strings of one byte: the children of the empty string.
+    begin = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (first[1:] == 0)))
+    end = np.append(begin[1:], n)
+    border[end] = True
     for _ in range(1, length):
-        if not len(open_):
+        if not len(begin):
             break
-        # Intervals of the strings so far; a border between two suffixes without their first bytes carries over.
-        interval = np.cumsum(border, dtype=np.int32)
-        settled = interval[here] != interval[before]
-        if settled.any():
-            border[open_[settled]] = True
-            kept = ~settled
-            open_, here, before = open_[kept], here[kept], before[kept]
-    return order, border
+        sizes = end - begin
+        bounds = np.cumsum(sizes)
+        rows = np.arange(bounds[-1]) + np.repeat(begin - bounds + sizes, sizes)
+        owner[rows] = np.repeat(np.arange(len(begin), dtype=np.int32), sizes)
+        grown = longer[rows[bwt[rows] > 0]]
+        if not len(grown):
+            break
+        grown.sort()
+        from_, byte = owner[shorter[grown]], first[grown]
+        edge = np.flatnonzero((from_[1:] != from_[:-1]) | (byte[1:] != byte[:-1]))
+        begin, end = grown[np.append(0, edge + 1)].astype(np.int64), grown[np.append(edge, len(grown) - 1)].astype(np.int64) + 1
+        fresh = ~border[end]
+        begin, end = begin[fresh], end[fresh]
+        border[end] = True
+    return order, border[:n]
 
 
 def _repeats_in(c: dict, bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +286,7 @@ def _repeats_in(c: dict, bodies: list[bytes], length: int) -> tuple[np.ndarray,
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, mark, lo, span): windows lo to lo + span of a document (mark: low half of its text's hash) that start
+    """(doc_id, mark, lo, span): windows lo to lo + span of a document (mark: its text's 64-bit hash) that start
     earlier somewhere. docs: (doc_id, text, mark)."""
     if not GRAM < length < GRAM + 256:
         raise ValueError(f"length must be over {GRAM} and under {GRAM + 256}")
@@ -359,7 +378,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def places(batches):
         for b in batches:
-            c = {"doc_id": b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), "mark": b.column(1).to_numpy(), "lo": b.column(2).to_numpy()}
+            c = {"doc_id": b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), "mark": b.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(_U), "lo": b.column(2).to_numpy()}
             yield pa.RecordBatch.from_arrays([pa.array(_place(c).view(np.int64))], ["place"])
 
     unsettled = settled.where("kind = 1").select("doc_id", "mark", "lo").mapInArrow(places, "place long")
@@ -423,9 +442,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def with_marks(docs: DataFrame) -> DataFrame:
     """(doc_id, text, mark): null texts empty, null ids smallest; mark tells apart rows of one id with unequal texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("long").alias("doc_id"), text.alias("text")).withColumn(
-        "mark", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
-    )
+    return docs.select(F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("long").alias("doc_id"), text.alias("text")).withColumn("mark", F.xxhash64("text"))
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -440,7 +457,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = False,
     per_doc = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "span")).alias("spans"))
     names = ["doc_id", *extra]
     held = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(names)], F.coalesce("text", F.lit("")).alias("text"))
-    held = held.withColumn("doc_id", F.coalesce(F.col("__0"), F.lit(-(2**63))).cast("long")).withColumn("mark", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
+    held = held.withColumn("doc_id", F.coalesce(F.col("__0"), F.lit(-(2**63))).cast("long")).withColumn("mark", F.xxhash64("text"))
     joined = held.join(per_doc, ["doc_id", "mark"], "left").select(*[f"__{i}" for i in range(len(names))], "text", "spans")
 
     @frugal
