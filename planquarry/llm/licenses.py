@@ -1,22 +1,22 @@
 """License scan with a positional index of rare licence words, in DataFrame operations only.
 
 1. Each file keeps the positions of its licence words (the words of the templates below).
-2. Document frequencies of these words over all files give their IDF; a template is looked up by its
-   KEYS rarest words that occur in the corpus at all.
-3. A file's hits meet the template postings; hits that agree on (file position - template position) vote
-   for the template at that place.
-4. A place with at least VOTES of the template's key words is verified: every word of the mandatory phrase,
-   common or short ones too, must stand at its place relative to it.
-
-The three base phrases are templates that are their own mandatory phrase, so all of their places are found
-exactly. Every file keeps its whole text's hits; nothing is cut off.
+2. Document frequencies of these words over all files give their IDF. For each template a file looks up, of the
+   template's words that it has itself, the KEYS words of highest IDF.
+3. Their hits meet the template postings and vote for the template at (file position - template position).
+4. A place that may hold SHARE of the template's words is verified: so many of them, and every word of the mandatory
+   phrase, common or short ones too, must stand where they belong.
+
+A place holds a template if SHARE of its words stand there, so at most a quarter of them is missing. That is fewer
+than KEYS, so the votes lose no place, and what is found does not depend on frequencies or on other files. The three
+base phrases are templates that are their own mandatory phrase, so all of their places are found. Every file keeps its
+whole text's hits, and the work on a text grows with the number of its hits.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import ASCII_LOWER, ASCII_UPPER, table, written
 
@@ -38,7 +38,7 @@ TEMPLATES = [
 #: Common words carry no IDF and are not indexed: those of one or two signs and these.
 COMMON = ["all", "and", "any", "are", "the", "this", "you", "may", "not", "for", "use", "with"]
 KEYS = 5
-VOTES = 0.75
+SHARE = 0.75
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -85,9 +85,10 @@ def _unindexed() -> tuple[set[str], set[str], set[str]]:
 def scan(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """Per row: n_words, n_base, first_word, last_word, base_labels, labels, score, places.
 
-    Null text is empty. Repeated rows are separate. `score` is the largest share of a verified
-    template's key words that stand at their places (1 for a base phrase), half of it where the mandatory
-    phrase fails, 0 without candidates. `places` lists (label, start, share, verified).
+    Null text is empty; an empty text has no words, no labels and score 0; an empty table gives no rows. Repeated rows
+    are separate, null ids stay. Very long texts are one row whose hits are dealt out by their places. `score` is the
+    largest share of a template's words that stand at a place (1 for a base phrase), half of it where the mandatory
+    phrase fails, 0 without places. `places` lists (label, start, share, verified).
     """
     spark = docs.sparkSession
     places = _places()
@@ -107,37 +108,42 @@ def scan(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFra
         "licenses",
     )
     seen = files.where("size(hits) > 0")
-    df = seen.select(F.explode(F.array_distinct("hits.w")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    template = spark.createDataFrame(places, "template int, label string, base boolean, w string, tpos int, must boolean")
-    rare = Window.partitionBy("template").orderBy("df", "w")
-    # As many rows as TEMPLATES has indexed words, whatever the corpus.
-    keys = (
-        template.join(F.broadcast(df), "w")
-        .select("template", "w", "df")
-        .distinct()
-        .withColumn("k", F.row_number().over(rare))
-        .where(F.col("k") <= KEYS)
-        .select("template", "w")
-    )
-    postings = template.join(F.broadcast(keys), ["template", "w"]).select("template", "label", "base", "w", "tpos")
-    sizes = postings.groupBy("template").agg(F.count(F.lit(1)).alias("n_keys"))
-    must = spark.createDataFrame(_phrases(), "template int, tpos int, w string").groupBy("template").agg(F.sort_array(F.collect_list(F.struct("tpos", "w"))).alias("phrase"))
-    postings = postings.join(F.broadcast(sizes), "template")
+    df = seen.select(F.explode(F.array_distinct("hits.w")).alias("w")).where(F.col("w").isin(vocabulary)).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    # One row per word of TEMPLATES at most, whatever the corpus: the rarest word comes first.
+    by_idf = [r.w for r in df.orderBy("df", "w").collect()]
+    size = {k: sum(p[0] == k for p in places) for k in range(len(TEMPLATES))}
+    postings = [(k, w, i, by_idf.index(w), sorted({by_idf.index(p[3]) for p in places if p[0] == k and p[3] in by_idf}), size[k]) for k, _, _, w, i, _ in places if w in by_idf]
+    postings = spark.createDataFrame(postings, "template int, w string, tpos int, idf int, own array<int>, n int")
+    ranks = F.array_sort(F.array_distinct(F.transform(F.filter("hits.w", lambda w: w.isin(vocabulary)), lambda w: (F.array_position(F.lit(by_idf or [""]), w) - 1).cast("int"))))
+    keys = F.slice(F.array_intersect("ranks", "own"), 1, KEYS)
     votes = (
-        seen.select("row", F.explode("hits").alias("h"))
-        .select("row", "h.pos", "h.w")
+        # Ranks are taken before hits are dealt out, else each hit would carry all hits.
+        seen.select("row", ranks.alias("ranks"), "hits")
+        .select("row", "ranks", F.explode("hits").alias("h"))
+        .select("row", "ranks", "h.pos", "h.w")
         .join(F.broadcast(postings), "w")
-        .groupBy("row", "template", "label", "base", (F.col("pos") - F.col("tpos")).alias("start"))
-        .agg((F.count(F.lit(1)) / F.first("n_keys")).alias("share"))
-        .where(F.col("share") >= VOTES)
+        .withColumn("keys", keys)
+        .where(F.array_contains("keys", F.col("idf")))
+        .groupBy("row", "template", (F.col("pos") - F.col("tpos")).alias("start"))
+        .agg(F.count(F.lit(1)).alias("votes"), F.first(F.size("keys") - F.floor(F.col("n") * (1 - SHARE))).alias("least"))
+        .where("votes >= least")
     )
+    # What each place must hold, met with what stands there.
+    must = {(k, i) for k, i, _ in _phrases()}
+    labels = [(k, label, base) for k, (label, base, _, _) in enumerate(TEMPLATES)]
+    wanted = {(k, i): w for k, _, _, w, i, _ in places} | {(k, i): w for k, i, w in _phrases()}
+    indexed = {(k, i) for k, _, _, _, i, _ in places}
+    wanted = [(k, i, w, (k, i) in indexed, (k, i) in must, size[k], sum(x[0] == k for x in must)) for (k, i), w in sorted(wanted.items())]
+    wanted = spark.createDataFrame(wanted, "template int, tpos int, w string, indexed boolean, must boolean, n int, n_must int")
     verified = (
-        votes.join(F.broadcast(must), "template")
-        .join(seen.select("row", "hits"), "row")
-        .select(
-            "row", "label", "base", "start", "share",
-            F.forall("phrase", lambda p: F.array_contains("hits", F.struct((F.col("start") + p["tpos"]).alias("pos"), p["w"].alias("w")))).alias("ok"),
-        )
+        votes.select("row", "template", "start")
+        .join(F.broadcast(wanted), "template")
+        .withColumn("pos", F.col("start") + F.col("tpos"))
+        .join(seen.select("row", F.explode("hits").alias("h")).select("row", "h.pos", "h.w"), ["row", "pos", "w"])
+        .groupBy("row", "template", "start")
+        .agg((F.count(F.when(F.col("indexed"), 1)) / F.first("n")).alias("share"), (F.count(F.when(F.col("must"), 1)) == F.first("n_must")).alias("ok"))
+        .where(F.col("share") >= SHARE)
+        .join(F.broadcast(spark.createDataFrame(labels, "template int, label string, base boolean")), "template")
         .where("NOT base OR ok")
     )
     base_ok = F.col("base") & F.col("ok")
@@ -168,22 +174,22 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    rows = ", ".join(f"({k}, '{label}', {base}, '{w}', {i}, {must})" for k, label, base, w, i, must in _places())
+    """Every place of every template, without any index: shares of words and whole mandatory phrases."""
+    rows = ", ".join(f"({k}, '{w}', {i})" for k, _, _, w, i, _ in _places())
+    phrases = ", ".join(
+        f"({k}, '{label}', {base}, {min(i for t, i, _ in _phrases() if t == k)}, {must.split()})" for k, (label, base, _, must) in enumerate(TEMPLATES)
+    )
     return f"""
-WITH t(template, label, base, w, tpos, must) AS (VALUES {rows}),
+WITH t(template, w, tpos) AS (VALUES {rows}),
+p(template, label, base, off, phrase) AS (VALUES {phrases}),
+n AS (SELECT template, count(*) AS n FROM t GROUP BY template),
 files AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'),
   '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
 hits AS (SELECT r, w, i - 1 AS pos FROM (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM files) WHERE w IN (SELECT w FROM t)),
-df AS (SELECT w, count(DISTINCT r) AS n FROM hits GROUP BY w),
-keys AS (SELECT template, w FROM (SELECT template, w, row_number() OVER (PARTITION BY template ORDER BY n, w) AS k
-  FROM (SELECT DISTINCT template, w, n FROM t JOIN df USING (w))) WHERE k <= {KEYS}),
-post AS (SELECT t.*, count(*) OVER (PARTITION BY template) AS n_keys FROM t JOIN keys USING (template, w)),
-votes AS (SELECT r, template, label, base, pos - tpos AS start, count(*) / CAST(min(n_keys) AS DOUBLE) AS share
-  FROM hits JOIN post USING (w) GROUP BY ALL HAVING count(*) / CAST(min(n_keys) AS DOUBLE) >= {VOTES}),
-met AS (SELECT v.r, v.template, v.start, count(*) AS m FROM votes v JOIN t ON t.template = v.template AND t.must
-  JOIN hits h ON h.r = v.r AND h.pos = v.start + t.tpos AND h.w = t.w GROUP BY ALL),
-need AS (SELECT template, count(*) AS m FROM t WHERE must GROUP BY template),
-ver AS (SELECT v.*, coalesce(met.m, 0) = need.m AS ok FROM votes v JOIN need USING (template) LEFT JOIN met USING (r, template, start)),
+place AS (SELECT r, template, pos - tpos AS start, count(*) / CAST(min(n) AS DOUBLE) AS share FROM hits JOIN t USING (w) JOIN n USING (template)
+  GROUP BY r, template, pos - tpos HAVING count(*) / CAST(min(n) AS DOUBLE) >= {SHARE}),
+ver AS (SELECT place.*, label, base, start + off >= 0 AND ws[start + off + 1 : start + off + len(phrase)] = phrase AS ok
+  FROM place JOIN p USING (template) JOIN files USING (r)),
 agg AS (SELECT r, count(*) FILTER (base AND ok) AS n_base, min(start) FILTER (base AND ok) AS first_word, max(start) FILTER (base AND ok) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND ok) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (ok) AS labels,
   max(CASE WHEN ok THEN share ELSE share / 2 END) AS score FROM ver WHERE NOT base OR ok GROUP BY r)

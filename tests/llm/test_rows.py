@@ -109,6 +109,50 @@ def test_licences_base_columns(spark, tmp_path):
     assert got[9002].labels == "mit" and got[9002].n_base == 0 and got[9003].labels == ""
 
 
+def licences_by_hand(text):
+    """(labels, score) from every place of every template."""
+    words, labels, score = licence_words(text), set(), 0.0
+    for label, base, template, must in licenses.TEMPLATES:
+        all_words, phrase = template.split(), must.split()
+        off = next(i for i in range(len(all_words)) if all_words[i : i + len(phrase)] == phrase)
+        own = [(i, w) for i, w in enumerate(all_words) if len(w) > 2 and w not in licenses.COMMON]
+        at = lambda k: words[k] if 0 <= k < len(words) else None
+        for start in range(-len(all_words), len(words)):
+            share = sum(at(start + i) == w for i, w in own) / len(own)
+            ok = all(at(start + off + i) == w for i, w in enumerate(phrase))
+            if share >= licenses.SHARE and (ok or not base):
+                score = max(score, share if ok else share / 2)
+                labels |= {label} if ok else set()
+    return ",".join(sorted(labels)), score
+
+
+def test_licences_match_brute_force(spark):
+    r = random.Random(11)
+    texts = ["This work has no rights reserved", "some rights reserved", "All rights reserved.", "rights of the king", "permission is hereby granted"]
+    texts += ["permission was hereby granted, free to charge by any person obtaining one copy at that software"]
+    pool = sorted({w for t in licenses.TEMPLATES for w in t[2].split()}) + ["foo", "bar"]
+    for _ in range(60):
+        parts = []
+        for _ in range(r.randint(1, 3)):
+            w = r.choice(licenses.TEMPLATES)[2].split()
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = r.choice(pool)
+            parts += w[r.randint(0, 2) :] + [r.choice(pool) for _ in range(r.randint(0, 4))]
+        texts.append(" ".join(parts))
+    got = licenses.scan(frame(spark, list(enumerate(texts)))).collect()
+    for x in got:
+        labels, score = licences_by_hand(texts[x.doc_id])
+        assert (x.labels, round(x.score, 9)) == (labels, round(score, 9)), texts[x.doc_id]
+    by = {texts[x.doc_id]: x for x in got}
+    assert not by["This work has no rights reserved"].labels and by["All rights reserved."].labels == "proprietary" and by["rights of the king"].score == 0
+
+
+def test_licences_long_text(spark):
+    """Work grows with a text's hits, not with their square."""
+    [x] = licenses.scan(frame(spark, [(1, "mit license " * 20_000)])).drop("places").collect()
+    assert (x.n_words, x.n_base, x.first_word, x.last_word, x.labels, x.score) == (40_000, 20_000, 0, 39_998, "mit", 1.0)
+
+
 def test_licences_empty_and_repeated(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
     assert [r.n_base for r in licenses.scan(frame(spark, [(1, "mit license"), (1, "mit license")])).collect()] == [1, 1]
