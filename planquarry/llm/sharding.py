@@ -1,11 +1,11 @@
 """Sharding by histogram sort, in DataFrame operations only.
 
-Rows are ordered by the key (hash of the text, hash of the row id). Splitters between shards
+Rows are ordered by the key (hash of the text, hash of the row id, number of the row). Splitters between shards
 are found by counting exact bytes below candidate key boundaries in all partitions, and by
 refining the candidates around each target until a splitter meets the tolerance; then rows
 are numbered with one exchange. Splitters fall between different text hashes where one of
 these meets the tolerance, so equal texts stay in one shard; a group of equal texts that is
-itself larger than the tolerance is cut by the row id's hash.
+itself larger than the tolerance is cut by the row id's hash, and rows of one text and id by their numbers.
 """
 
 from __future__ import annotations
@@ -73,9 +73,10 @@ def shard(
 ) -> DataFrame:
     """Add size, text_crc32, shard and slot to (row_id); sizes per shard equal within `tolerance` of one shard.
 
-    A null text has no bytes and size 1; repeated rows are separate rows. An empty table gives no rows.
-    Shards are key ranges; slots number a shard's rows from 0 without gaps. A splitter is closer than
-    `tolerance` times a shard's size to its target unless a single row is larger than that.
+    A null text has no bytes and size 1; null ids are ids like others; repeated rows are separate rows, and many of them
+    are spread over shards. An empty table gives no rows. Shards are key ranges; slots number a shard's rows from 0
+    without gaps. A splitter is closer than `tolerance` times a shard's size to its target unless a single row is larger
+    than that. Shards depend on texts and ids only, but for rows equal in both; slots also on the order of the input.
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
@@ -86,25 +87,33 @@ def shard(
             F.crc32(body).cast("long").alias("text_crc32"),
             F.xxhash64(body).alias("h"),
             F.xxhash64(F.lit(17), F.col(row_id)).alias("r"),
+            F.xxhash64(F.monotonically_increasing_id()).alias("u"),
         ),
         "shard",
     )
     total = int(rows.agg(F.sum("size")).first()[0] or 0)
     allowed = tolerance * total / shards
     targets = [total * k // shards for k in range(1, shards)]
-    cuts: list[tuple[int, int]] = []
+    cuts: list[tuple[int, int, int]] = []
     for target, (h, below, near) in zip(targets, _search(rows, "h", targets, allowed), strict=True):
-        # No boundary between text hashes is near enough: the group that the target falls in is cut by row.
-        r = LOW if near else _search(rows.where(F.col("h") == F.lit(h)), "r", [target - below], allowed)[0][0]
-        cuts.append((h, r))
+        r = u = LOW
+        if not near:
+            # No boundary between text hashes is near enough: the group that the target falls in is cut by row.
+            group = rows.where(F.col("h") == F.lit(h))
+            r, under, near = _search(group, "r", [target - below], allowed)[0]
+            if not near:
+                u = _search(group.where(F.col("r") == F.lit(r)), "u", [target - below - under], allowed)[0][0]
+        cuts.append((h, r, u))
     cuts.sort()
-    ge = [(F.col("h") > F.lit(h)) | ((F.col("h") == F.lit(h)) & (F.col("r") >= F.lit(r))) for h, r in cuts]
+    after = lambda c, x: F.col(c) > F.lit(x)
+    same = lambda c, x: F.col(c) == F.lit(x)
+    ge = [after("h", h) | (same("h", h) & (after("r", r) | (same("r", r) & (F.col("u") >= F.lit(u))))) for h, r, u in cuts]
     number = F.lit(0)
     for g in ge:
         number = number + g.cast("int")
     # Slots: rows are dealt to many sub-buckets of each shard, counted, and numbered inside their bucket.
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 4
-    placed = rows.withColumn("shard", number.cast("int")).withColumn("bucket", F.pmod(F.col("r"), F.lit(buckets)).cast("int"))
+    placed = rows.withColumn("shard", number.cast("int")).withColumn("bucket", F.pmod(F.col("u"), F.lit(buckets)).cast("int"))
     counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     starts = counts.select(
         "shard",
@@ -113,7 +122,7 @@ def shard(
     )
     inside = Window.partitionBy("shard", "bucket").orderBy("row_id", "h")
     numbered = placed.withColumn("k", F.row_number().over(inside) - 1)
-    return numbered.join(F.broadcast(starts), ["shard", "bucket"]).select(
+    return numbered.join(starts, ["shard", "bucket"]).select(
         F.col("row_id").alias(row_id), "size", "text_crc32", "shard", (F.col("k") + F.col("start")).alias("slot")
     )
 

@@ -243,6 +243,18 @@ def test_sharding_empty_and_repeated(spark):
     assert len(got) == 40 and {r["size"] for r in got} == {1}
 
 
+@pytest.mark.parametrize("ids", [(1, 2), (None, None), (None, 7)])
+def test_sharding_spreads_repeated_rows(spark, ids):
+    got = sharding.shard(frame(spark, [(ids[0], None)] * 400 + [(ids[1], "x")] * 400).repartition(3)).collect()
+    size, slots = Counter(), defaultdict(list)
+    for r in got:
+        size[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert len(got) == 800 and sum(size.values()) == 1200
+    assert set(size) == set(range(16)) and max(size.values()) - min(size.values()) <= 4
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 def test_fingerprints(spark, tmp_path):
     rows = documents()
     sf = table_dir(spark, tmp_path, documents=frame(spark, rows).repartition(3))
