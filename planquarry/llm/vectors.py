@@ -11,6 +11,7 @@ links are counted once and pairs are never written out.
 from __future__ import annotations
 
 import functools
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,9 @@ CODE = 160
 #: Cap height in standard deviations of a random direction's inner product.
 CAP = 2.9
 LEAST = 24
+#: CODE and CAP hold for labels of up to about 34,000 vectors. Larger ones get more directions and higher caps.
+CAP_ROWS = 64
+MOST_CODE = 4096
 TILE = 128
 #: Tiles of an Arrow batch: each holds up to TILE vectors twice over.
 BATCH_TILES = 64
@@ -48,20 +52,36 @@ def decode(x: np.ndarray, code: int = CODE, cap: float = CAP, least: int = LEAST
     y = x @ turn
     left, right = y[:, : dim // 2] @ a.T, y[:, dim // 2 :] @ b.T
     level = np.full(len(x), cap / np.sqrt(dim))
+    down = np.argsort(-right, axis=1, kind="stable")
+    best = np.take_along_axis(right, down, axis=1)
     out = []
     for k in range(len(x)):
-        i = np.flatnonzero(left[k] >= level[k] - right[k].max())
-        j = np.flatnonzero(right[k] >= level[k] - left[k].max())
-        u, v = np.nonzero(left[k, i][:, None] + right[k, j][None, :] >= level[k])
-        if len(u) < least:
-            # A vector in few caps lowers its cap height until it has `least` filters.
-            every = left[k][:, None] + right[k][None, :]
-            i, j = np.arange(code), np.arange(code)
+        i = np.flatnonzero(left[k] >= level[k] - best[k, 0])
+        # With each direction of one half go the first so many of the other half's, which stand in descending order.
+        many = np.searchsorted(-best[k], left[k, i] - level[k], "right")
+        if many.sum() < least:
+            # A vector in few caps lowers its cap height until it has `least` filters; they are among these.
+            near = np.sort(np.argsort(-left[k], kind="stable")[:least]), np.sort(down[k, :least])
+            every = left[k, near[0]][:, None] + right[k, near[1]][None, :]
             u, v = np.nonzero(every >= np.partition(every, -least, axis=None)[-least])
-        out.append(np.sort(i[u] * code + j[v]))
+            out.append(np.sort(near[0][u] * code + near[1][v]))
+            continue
+        j = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        out.append(np.sort(np.repeat(i, many) * code + down[k, j]))
     return out
 
 
+def code_for(rows: int) -> tuple[int, float, int]:
+    """(directions per half, cap height, least filters) for a label of so many vectors: a cap holds about CAP_ROWS of them
+    at most, until a half has MOST_CODE directions. Higher caps are shared less often, so a vector is in more of them."""
+    filters, more = CODE * CODE * (1 - NormalDist().cdf(CAP)), 0.35
+    code = min(MOST_CODE, int(np.ceil((filters * CODE**-more * rows / CAP_ROWS) ** (1 / (2 - more)))))
+    if code <= CODE:
+        return CODE, CAP, LEAST
+    scale = (code / CODE) ** more
+    return code, -NormalDist().inv_cdf(filters * scale / (code * code)), int(LEAST * scale)
+
+
 def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of n nodes by pairs (u, v)."""
     low = np.arange(n)
@@ -125,9 +145,13 @@ def usable(column: str = "embedding"):
     return F.coalesce(fine & F.exists(wide, lambda v: v != 0), F.lit(False))
 
 
-def near_vectors(rows: DataFrame, cosine: float = COSINE, code: int = CODE, cap: float = CAP, tile: int = TILE) -> DataFrame:
+def near_vectors(
+    rows: DataFrame, cosine: float = COSINE, code: int | None = None, cap: float | None = None, tile: int = TILE
+) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label).
 
+    Without `code` and `cap` the largest label's vectors choose them (`code_for`).
+
     Rows without label or with an unusable vector link with nothing. Equal vectors of a label are handled as one
     with a weight; ids are taken to be distinct, and a null id links with its exact copies only. Vectors of different lengths never link.
     """
@@ -136,6 +160,11 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, code: int = CODE, cap:
     firsts = written(
         good.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("w")), "vectors"
     )
+    if code is None or cap is None:
+        most = firsts.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        code, cap, least = code_for(most)
+    else:
+        least = LEAST
     label_type = dict(rows.dtypes)["label"]
     width = np.float32 if dict(rows.dtypes)["embedding"] == "array<float>" else np.float64
 
@@ -150,7 +179,7 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, code: int = CODE, cap:
                 at = [k for k, d in enumerate(dims) if d == dim]
                 unit = np.array([x[k] for k in at], np.float64)
                 unit /= np.linalg.norm(unit, axis=1)[:, None]
-                for k, f in zip(at, decode(unit, code, cap)):
+                for k, f in zip(at, decode(unit, code, cap, least)):
                     filters[k], raw[k], vectors[k] = f, f.astype(np.int32).tobytes(), np.array(x[k], width).tobytes()
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(3), b.column(4), pa.array(vectors, pa.binary()), pa.array(raw, pa.binary()), pa.array(filters, pa.list_(pa.int32()))],

@@ -160,3 +160,33 @@ def test_components_of_long_paths(spark):
     random.Random(0).shuffle(edges)
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{k: 0 for k in range(301)}, 1000: 1000, 1001: 1000}
+
+
+def test_vector_code_grows_with_the_label():
+    """Caps of large labels hold no more vectors, and lose no more pairs."""
+    assert vectors.code_for(0) == vectors.code_for(30_000) == (vectors.CODE, vectors.CAP, vectors.LEAST)
+    r = np.random.RandomState(3)
+    x = r.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z = r.normal(size=x.shape)
+    z -= (z * x).sum(1)[:, None] * x
+    y = 0.94 * x + np.sqrt(1 - 0.94**2) * z / np.linalg.norm(z, axis=1)[:, None]
+    for n in (10**5, 10**6):
+        code, *_ = rule = vectors.code_for(n)
+        one, other = vectors.decode(x, *rule), vectors.decode(y, *rule)
+        assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(one, other)]) >= 0.995
+        every = np.concatenate(one)
+        assert len(every) / (code * code) * n / len(x) <= 1.5 * vectors.CAP_ROWS
+
+
+def test_vector_decoding_finds_every_filter_over_the_cap():
+    r = np.random.RandomState(4)
+    x = r.normal(size=(60, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    turn, a, b = vectors._code(16, 20)
+    y = x @ turn
+    for cap, least in ((1.5, 3), (2.6, 8)):
+        for k, found in enumerate(vectors.decode(x, 20, cap, least)):
+            every = ((y[k, :8] @ a.T)[:, None] + (y[k, 8:] @ b.T)[None, :]).ravel()
+            over = np.flatnonzero(every >= cap / 4)
+            assert sorted(found) == sorted(over if len(over) >= least else np.argsort(-every, kind="stable")[:least])
