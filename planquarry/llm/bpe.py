@@ -2,7 +2,7 @@
 
 Every batch of documents is split into words; each word that the table lacks is encoded once, and the
 ids are joined back to the documents by position. Decoding looks every id up in an id-to-piece table,
-whose size is the vocabulary's. The word table belongs to a Python worker, is bounded in entries, and
+whose size is the vocabulary's. The word table belongs to a Python worker, is bounded in bytes, and
 is only a table: it decides nothing about results.
 
 A table over the whole corpus, joined by shuffle, moves every (block, word) pair and the texts; see the
@@ -26,8 +26,9 @@ from .common import frugal, table
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries that a worker's word table holds before it starts anew.
-TABLE_WORDS = 1_000_000
+#: Bytes that a worker's word table holds, by estimate, before it starts anew; an entry costs ENTRY besides its word.
+TABLE_BYTES = 72 << 20
+ENTRY = 160
 
 
 def vocabulary(name: str) -> str:
@@ -148,13 +149,14 @@ class WordTable(dict):
     def _empty(self) -> None:
         self.clear()
         self.pending: list[bytes] = []
-        self.rows, self.used = 0, 0
+        self.rows, self.used, self.held = 0, 0, 0
         self.starts, self.lengths = np.empty(1024, np.int64), np.empty(1024, np.int64)
         self.flat = np.empty(4096, np.int32)
 
     def __missing__(self, word: bytes) -> int:
         row = self[word] = self.rows + len(self.pending)
         self.pending.append(word)
+        self.held += len(word) + ENTRY
         return row
 
     def _encode_pending(self) -> None:
@@ -172,7 +174,7 @@ class WordTable(dict):
 
     def lookup(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids end to end, and how many each has."""
-        if len(self) > TABLE_WORDS:
+        if self.held > TABLE_BYTES:
             self._empty()
         rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.pending:

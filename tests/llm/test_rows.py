@@ -81,7 +81,7 @@ def test_bpe_is_the_librarys(spark, tmp_path):
 
 
 def test_bpe_encode_decode(spark, monkeypatch):
-    monkeypatch.setattr(bpe, "TABLE_WORDS", 20)
+    monkeypatch.setattr(bpe, "TABLE_BYTES", 4000)
     rows = [(i, t) for i, t in documents() if "<|" not in (t or "")]
     ids = bpe.encode(frame(spark, rows), BYTE)
     assert {r.doc_id: r.text for r in bpe.decode(ids, BYTE).collect()} == {i: t or "" for i, t in rows}
