@@ -8,13 +8,14 @@ from pyspark.sql.window import Window
 
 from planquarry.llm import ngram_join, packing, quality, repeats
 from planquarry.llm.bpe import vocabulary
-from planquarry.llm.common import small_batches, table, written
+from planquarry.llm.common import give_back, small_batches, table, written
 
 ORACLE_SQL = None
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It learns from the labels outside the held-out fold."""
+    give_back(spark)
     machine = quality.train(docs, table(spark, sf_dir, "labels").where(~quality.fold()))
     return quality.keep_good(docs, machine)
 
@@ -22,6 +23,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id; of repeated rows one."""
     small_batches(spark)
+    give_back(spark)
     groups = ngram_join.jaccard_components(docs)
     kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
@@ -32,6 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of long passages that start earlier elsewhere; n_chars follows the text."""
     small_batches(spark)
+    give_back(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     cut = repeats.cut_repeats(docs, keep_text=True, extra=tuple(others)).withColumn("text", F.col("kept_text"))
     if "n_chars" in others:
@@ -42,6 +45,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     small_batches(spark)
+    give_back(spark)
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
 

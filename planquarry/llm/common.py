@@ -63,6 +63,14 @@ def frugal_group(run):
     return wrapped
 
 
+def give_back(spark: SparkSession) -> None:
+    """Let the executors collect garbage between two stages, so that their heaps shrink before the next one grows its own.
+
+    One short task per slot; an executor that gets none keeps its heap, which costs memory and nothing else."""
+    slots = max(spark.sparkContext.defaultParallelism, 1)
+    spark.range(0, slots, 1, slots).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).where("done <> ''").count()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

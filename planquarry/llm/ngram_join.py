@@ -121,10 +121,9 @@ def _counted(docs: DataFrame, words: int, parts: int) -> DataFrame:
     return sent.groupBy("part").applyInArrow(count, "token long, n int")
 
 
-def _postings(docs: DataFrame, words: int, several, frequent) -> DataFrame:
-    """(token, key, n, central): of each set's prefix in the order (unique, others, frequent; hash), the tokens not unique."""
-    spark = docs.sparkSession
-    filters = spark.sparkContext.broadcast((several, frequent))
+def _postings(docs: DataFrame, words: int, filters) -> DataFrame:
+    """(token, key, n, central): of each set's prefix in the order (unique, others, frequent; hash), the tokens not unique.
+    filters: broadcast Bloom filters of the tokens that are several and of those that are frequent."""
 
     @frugal
 
@@ -165,10 +164,8 @@ def _postings(docs: DataFrame, words: int, several, frequent) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "token long, key long, n long, central long")
 
 
-def _sets(docs: DataFrame, words: int, owners) -> DataFrame:
-    """(key, tokens, bitmap) of the rows whose ids are in the Bloom filter `owners`."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(owners)
+def _sets(docs: DataFrame, words: int, held) -> DataFrame:
+    """(key, tokens, bitmap) of the rows whose ids are in the broadcast Bloom filter `held`."""
 
     @frugal
 
@@ -381,8 +378,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, text: str = "text",
     counted = written(_counted(docs, words, parts), "ngram")
     several = counted.count()
     often = counted.where(F.col("n") >= FREQUENT)
-    filters = bloom_filter(counted, "token", several), bloom_filter(often, "token", often.count())
-    postings = written(_postings(docs, words, *filters).dropDuplicates(["token", "key"]), "ngram")
+    filters = spark.sparkContext.broadcast((bloom_filter(counted, "token", several), bloom_filter(often, "token", often.count())))
+    postings = written(_postings(docs, words, filters).dropDuplicates(["token", "key"]), "ngram")
+    filters.destroy()
     banded = postings.withColumn("band", _band())
     stars = (
         banded.groupBy("token", "band")
@@ -405,7 +403,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, text: str = "text",
     postings = written(postings.join(shared, "token"), "ngram")
     wanted = nodes.join(postings.select("key").distinct(), "key", "left_semi").select(F.coalesce("owner", F.lit(0)).cast("long").alias("owner"))
     wanted = written(wanted, "ngram")
-    sets = written(_sets(docs, words, bloom_filter(wanted, "owner", wanted.count())), "ngram")
+    owners = spark.sparkContext.broadcast(bloom_filter(wanted, "owner", wanted.count()))
+    sets = written(_sets(docs, words, owners), "ngram")
+    owners.destroy()
     links = written(_verified(best, sets), "ngram")
     known = roots(links.distinct())
     bits = sets.select("key", "bitmap").dropDuplicates(["key"])

@@ -435,7 +435,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pa.Table.from_batches(out) if out else pa.Table.from_batches([_spans(c, np.arange(0), 0)])
 
     sent = docs.mapInArrow(bodies, f"part int, body binary, {fields}")
-    expanded = sent.groupBy("part").applyInArrow(expand, _SPANS)
+    expanded = written(sent.groupBy("part").applyInArrow(expand, _SPANS), "repeats")
+    filters.destroy()
+    chosen.destroy()
     return settled.where("kind = 0").unionByName(expanded).select("doc_id", "mark", "lo", "span")
 
 
