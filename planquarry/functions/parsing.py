@@ -11,8 +11,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# How answers mark code and thoughts.
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S | re.I)
 _THINK = re.compile(r"<think>.*?(?:</think>|$)", re.S | re.I)
+# End of fixed values.
 
 
 def _clean(text: str | None) -> str:

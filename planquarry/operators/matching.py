@@ -202,3 +202,34 @@ def suppress(boxes: DataFrame, threshold: float, priority: str = "priority") ->
         return out.append_column("size", pa.array([sizes[k] for k in kept], pa.string()))
 
     return rows.groupBy("image", "cat").applyInArrow(one, f"image {types['image']}, cat {types['cat']}, pos int, box array<double>, size string")
+
+
+# Classes that are taken for each other, and the overlap from which one of two goes.
+ALIKE, ALIKE_OVERLAP = ["Chamfer", "Fillet", "Chamfer Group", "Fillet Group"], 0.7
+# End of fixed values.
+
+
+def suppress_across(boxes: DataFrame) -> DataFrame:
+    """Of two boxes of different classes in ALIKE that overlap by more than ALIKE_OVERLAP one goes: that without size, else
+    the later one. Boxes take their turn in order; one that has gone takes none. Others stay as they are.
+    boxes: (image, pos, cat, box, size); rows without box stay."""
+    names = ["image", "pos", "cat", "box", "size"]
+    rows = boxes.select(*names)
+    mixed = F.col("cat").isin(ALIKE) & F.col("box").isNotNull()
+
+    def one(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, sort_keys=[("pos", "ascending")]))
+        corners = np.array(group["box"].to_pylist(), float).reshape(-1, 4)
+        cats = np.array(group["cat"].to_pylist(), object)
+        sized = np.array([bool(s) for s in group["size"].to_pylist()])
+        left = np.ones(len(cats), bool)
+        for k in range(len(cats)):
+            if left[k]:
+                rivals = (_overlaps(corners[k : k + 1], corners[k + 1 :])[0] > ALIKE_OVERLAP) & left[k + 1 :] & (cats[k + 1 :] != cats[k])
+                better = rivals & sized[k + 1 :] & ~sized[k]
+                left[k + 1 :] &= ~rivals | better
+                left[k] = not better.any()
+        return group.filter(pa.array(left))
+
+    kept = rows.where(mixed).groupBy("image").applyInArrow(one, rows.schema)
+    return kept.unionByName(rows.where(~F.coalesce(mixed, F.lit(False))))

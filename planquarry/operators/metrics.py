@@ -77,3 +77,10 @@ def index_percentile(values: Column, share: float) -> Column:
     """The value at index floor(n * share) of the sorted values (the last one for share 1); no interpolation."""
     s = F.array_sort(values)
     return F.try_element_at(s, F.least(F.size(s), F.floor(F.size(s) * share).cast("int") + 1))
+
+
+def exact_rates(passed: DataFrame, by: str = "cat") -> DataFrame:
+    """(by, passed, total, rate) of rows (by, exact boolean): a null counts as not exact."""
+    fine = F.coalesce(F.col("exact"), F.lit(False)).cast("long")
+    sums = passed.groupBy(by).agg(F.sum(fine).alias("passed"), F.count(F.lit(1)).alias("total"))
+    return sums.withColumn("rate", F.col("passed") / F.col("total"))

@@ -107,16 +107,21 @@ def scope(values: Column, fallback: list[str]) -> Column:
     return F.when(F.coalesce(F.size(names), F.lit(0)) > 0, names).otherwise(F.array(*[F.lit(c) for c in fallback]))
 
 
+# Spellings of sizes that tell a class.
+RADIUS, CHAMFERED, THREAD, FIT = r"^R\d", r"^[CD]\d|x45|45°", r"^M\d|\dxM\d", r"H[67]"
+# End of fixed values.
+
+
 def relabelled(category: Column, size: Column) -> Column:
     """Category as the size tells: radii are fillets, chamfer sizes are chamfers, M sizes in holes are threads, fits are
     pin holes; groups stay groups."""
     group = F.when(F.endswith(category, F.lit(" Group")), " Group").otherwise("")
     base = F.regexp_replace(category, " Group$", "")
     to = (
-        F.when((base == "Chamfer") & size.rlike(r"^R\d"), "Fillet")
-        .when((base == "Fillet") & size.rlike(r"^[CD]\d|x45|45°"), "Chamfer")
-        .when((base == "Round Hole") & size.rlike(r"^M\d|\dxM\d"), "Threaded Hole")
-        .when((base == "Round Hole") & size.rlike(r"H[67]"), "Pin Hole")
+        F.when((base == "Chamfer") & size.rlike(RADIUS), "Fillet")
+        .when((base == "Fillet") & size.rlike(CHAMFERED), "Chamfer")
+        .when((base == "Round Hole") & size.rlike(THREAD), "Threaded Hole")
+        .when((base == "Round Hole") & size.rlike(FIT), "Pin Hole")
     )
     return F.coalesce(F.concat(to, group), category)
 

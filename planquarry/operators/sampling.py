@@ -118,6 +118,54 @@ def balanced_select(pool: DataFrame, targets: list[str], n: int, seed: int, name
     return finals.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(choose, "turn long, index long")
 
 
+def hard_and_general(pool: DataFrame, targets: list[str], total: int, hard_share: float, seed: int, namespace: str) -> DataFrame:
+    """(index, part): a share of `total` rows that cover the targets evenly ("hard"), the others from the rest in hash
+    order ("general"). pool: (index, labels), an index once. Too few rows for the second part are an error."""
+    hard = balanced_select(pool, targets, round(total * hard_share), seed, f"{namespace}:hard").select("index", F.lit("hard").alias("part"))
+    many = total - round(total * hard_share)
+    rest = random_select(pool.select("index").join(hard, "index", "left_anti"), many, seed + 7, f"{namespace}:general")
+    if rest.count() < many:
+        raise ValueError(f"{namespace}: too few rows for the general part")
+    return hard.unionByName(rest.select("index", F.lit("general").alias("part")))
+
+
+# Bonus for each category of a row, and the objects beyond which each costs.
+PER_CATEGORY, PER_OBJECT, FREE_OBJECTS = 0.05, 0.002, 12
+
+
+def benchmark_select(rows: DataFrame, n: int) -> DataFrame:
+    """(name, turn): n rows chosen one by one by what rare categories they add. rows: (name, categories array<string>, objects).
+
+    A category weighs 1 / sqrt(rows with it), less with each chosen row that has it; rows with many objects lose a little.
+    Ties: more categories, fewer objects, the last name. Rows of equal categories rank by objects and name alone, so the
+    first n of each distinct set of categories are enough, and the choice is exact.
+    """
+    held = rows.select("name", F.array_sort(F.array_distinct("categories")).alias("held"), F.col("objects").cast("long").alias("objects"))
+    # As many rows as categories.
+    weight = {r.c: 1 / math.sqrt(r["count"]) for r in held.select(F.explode("held").alias("c")).groupBy("c").count().collect()}
+    w = Window.partitionBy("held").orderBy("objects", F.desc("name"))
+    few = held.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        decks = {c: list(g.itertuples(index=False)) for c, g in pdf.assign(held=pdf["held"].map(tuple)).sort_values("k").groupby("held")}
+        chosen, at, out = dict.fromkeys(weight, 0), dict.fromkeys(decks, 0), []
+
+        def worth(c):
+            top = decks[c][at[c]]
+            score = sum(weight[x] / (1 + chosen[x]) for x in c) + PER_CATEGORY * len(c) - PER_OBJECT * max(0, top.objects - FREE_OBJECTS)
+            return round(score, 8), len(c), -top.objects, top.name
+
+        while len(out) < n and (open_ := [c for c in decks if at[c] < len(decks[c])]):
+            best = max(open_, key=worth)
+            out.append(decks[best][at[best]].name)
+            at[best] += 1
+            for x in best:
+                chosen[x] += 1
+        return pd.DataFrame({"name": out, "turn": range(len(out))})
+
+    return few.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(choose, "name string, turn long")
+
+
 def split_families(families: DataFrame, shares: dict[str, float], seed: int) -> DataFrame:
     """(family, n, split): families, largest first, go to the split that is furthest below its share; ties by name of
     the split. One row per family; the fold is over families, whole drawings stay together. families: (family, n)."""

@@ -208,3 +208,38 @@ def channel_of(categories: Column) -> Column:
     """holes if a drawing has any, else yuanjiao for fillets, else default."""
     has = lambda word: F.exists(categories, lambda c: F.contains(c, F.lit(word)))
     return F.when(has("Hole"), "holes").when(has("Fillet"), "yuanjiao").otherwise("default")
+
+
+def scope_suffix(instruction: Column, views: Column, documents: Column) -> Column:
+    """What a prompt says about the categories that were annotated: an instruction, then the scope as `layout_scope` reads it."""
+    scope = F.to_json(F.struct(views.alias("view_scope"), documents.alias("document_scope")))
+    return F.concat(F.lit("\n"), instruction, F.lit("\nlayout_scope="), scope)
+
+
+def of_categories(items: Column, names: list[str]) -> Column:
+    """Items of these categories."""
+    return F.filter(items, lambda a: F.coalesce(a["category"].isin(names), F.lit(False)))
+
+
+def scoped_regions(regions: Column, views: Column, allowed: list[str]) -> Column:
+    """Regions without the generic ones whose view is known and not allowed; those without a view stay. Of several views
+    of a region the last one counts."""
+    named = F.filter(views, lambda v: F.coalesce(v["region_id"], F.lit("")) != "")
+
+    def inside(r: Column) -> Column:
+        own = F.filter(named, lambda v: v["region_id"] == r["region_id"])
+        known = F.coalesce(F.size(own), F.lit(0)) > 0
+        fine = F.coalesce(F.try_element_at(own, F.lit(-1))["category"].isin(allowed), F.lit(False))
+        return ~(F.coalesce(r["category"] == V.GENERIC, F.lit(False)) & known & ~fine)
+
+    return F.filter(regions, inside)
+
+
+def format_reward(parsed: Column) -> Column:
+    """1 for an answer that could be read, else 0."""
+    return F.when(parsed.isNotNull(), 1.0).otherwise(0.0)
+
+
+def answer_lengths(chat: Column) -> Column:
+    """Signs of each answer of a chat, in order."""
+    return F.transform(F.filter(chat, lambda m: m["role"] == "assistant"), lambda m: F.length(F.coalesce(m["content"], F.lit(""))))

@@ -34,10 +34,17 @@ m AS (SELECT image, u.p AS p, u.g AS g, u.iou AS iou, u.same AS same FROM (SELEC
 SAME = "AND p.cat = g.cat"
 
 
+def for_duckdb(text: str) -> str:
+    """`text` for DuckDB: its type names, and boxes that are computed once."""
+    for name in ("base", "gt", "pr"):
+        text = text.replace(f"{name} AS (", f"{name} AS MATERIALIZED (")
+    return text.replace("AS STRING", "AS VARCHAR")
+
+
 def sql(select: str, same: bool = True, limit: str = "5 * inter >= 2 * (pa + ga - inter)", score: str = "iou", match: str = GREEDY) -> str:
     """DuckDB text of a query over matches `m`."""
     pairs = PAIRS.format(where=SAME if same else "", limit=limit)
-    return f"WITH {BASE.replace('AS STRING', 'AS VARCHAR')}, {pairs}, {match.format(score=score) if match else 'z AS (SELECT 1)'} {select}"
+    return f"WITH {for_duckdb(BASE)}, {pairs}, {match.format(score=score) if match else 'z AS (SELECT 1)'} {select}"
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

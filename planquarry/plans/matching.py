@@ -194,7 +194,7 @@ def features_in_views(spark, sf):
 @query(
     "overlapping_boxes_suppressed",
     sql(
-        """, b AS (SELECT *, CASE WHEN size = '' THEN 1 ELSE 2 END AS priority FROM pr WHERE pos <= 60),
+        """, b AS (SELECT *, CASE WHEN size = '' THEN 1 ELSE 2 END AS priority FROM pr),
 l AS (SELECT image, cat, list(struct_pack(pos := pos, x1 := x1, y1 := y1, w := w, h := h, size := size) ORDER BY -priority, pos) AS c FROM b GROUP BY image, cat),
 f AS (SELECT image, cat, list_reduce(c, lambda s, x: CASE WHEN len(list_filter(s, lambda k: 5 * greatest(0, least(k.x1 + k.w, x.x1 + x.w) - greatest(k.x1, x.x1)) * greatest(0, least(k.y1 + k.h, x.y1 + x.h) - greatest(k.y1, x.y1))
    >= 2 * (k.w * k.h + x.w * x.h - greatest(0, least(k.x1 + k.w, x.x1 + x.w) - greatest(k.x1, x.x1)) * greatest(0, least(k.y1 + k.h, x.y1 + x.h) - greatest(k.y1, x.y1))))) > 0 THEN s ELSE list_append(s, x) END,

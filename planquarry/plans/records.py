@@ -14,10 +14,10 @@ from ..operators import ranking as K
 from ..operators import records as R
 from ..operators import sampling as P
 from ..sources.tables import table
-from .boxes import BASE, boxes
+from .boxes import BASE, boxes, for_duckdb
 
 QUERIES, ORACLE_SQL = {}, {}
-_BASE = "WITH " + BASE.replace("AS STRING", "AS VARCHAR")
+_BASE = "WITH " + for_duckdb(BASE)
 
 
 def query(name: str, oracle: str | None = None):
@@ -66,14 +66,33 @@ def _raw(k: Column) -> Column:
     return F.element_at(F.array(*forms), (k % len(forms) + 1).cast("int"))
 
 
-@query("size_normalized")
+_FORMS = """CASE {k} % 10 WHEN 0 THEN concat('φ', n, ',50 mm') WHEN 1 THEN concat('4-Ø', n, '.0') WHEN 2 THEN concat('M', n, ' DP ') WHEN 3 THEN concat(n, '×45 degrees')
+ WHEN 4 THEN concat('DIA. ', n) WHEN 5 THEN concat('2x M', n) WHEN 6 THEN concat('R', n, '.10') WHEN 7 THEN '' WHEN 8 THEN concat('LL ', n) ELSE concat(n, 'MM H7') END"""
+#: What each form comes to, by kind.
+_CANONICAL = """CASE p_partkey % 10 WHEN 0 THEN concat(CASE WHEN kind LIKE 'Round Hole%' THEN '' ELSE 'Ø' END, {n}, '.50')
+ WHEN 1 THEN concat('4', CASE WHEN kind LIKE '% Group' THEN 'X' ELSE '-' END, CASE WHEN kind LIKE 'Round Hole%' THEN '' ELSE 'Ø' END, {n})
+ WHEN 2 THEN concat('M', {n}, 'DP') WHEN 3 THEN concat({n}, 'X45°') WHEN 4 THEN concat('Ø.', {n}) WHEN 5 THEN concat('2XM', {n}) WHEN 6 THEN concat('R', {n}, '.10')
+ WHEN 7 THEN '' WHEN 8 THEN concat(CASE WHEN kind LIKE 'Slotted Hole%' THEN '' ELSE 'LL' END, {n}) ELSE concat({n}, 'H7') END"""
+_TOKENS = """list_concat(list_transform(regexp_extract_all({s}, '\\d+(?:\\.\\d+)?'), lambda x: concat('N:', CASE WHEN contains(x, '.') THEN regexp_replace(x, '\\.?0+$', '') ELSE x END)),
+ list_transform(list_filter(['M', 'R', 'Ø', 'H7', 'DP', '°', '@', '+', '/'], lambda x: contains({s}, x)), lambda x: concat('S:', x)))"""
+_HELD = "len(list_filter({t}, lambda u: u = x))"
+
+
+@query(
+    "size_normalized",
+    f"""WITH t AS (SELECT p_partkey, ([{_quoted(V.FEATURES)}])[p_partkey % {len(V.FEATURES)} + 1] AS kind, p_partkey % 97 + 1 AS n, (p_partkey + 10) % 97 + 1 AS m FROM part),
+c AS (SELECT *, {_FORMS.format(k='p_partkey')} AS raw, {_CANONICAL.format(n='n')} AS size, {_CANONICAL.format(n='m')} AS other FROM t),
+k AS (SELECT *, {_TOKENS.format(s='size')} AS x_, {_TOKENS.format(s='other')} AS y_ FROM c),
+h AS (SELECT *, list_sum(list_transform(list_distinct(x_), lambda x: least({_HELD.format(t='x_')}, {_HELD.format(t='y_')}))) AS shared FROM k)
+SELECT p_partkey, kind, raw, size, round(CASE WHEN size = other THEN 1.0 WHEN size = '' OR other = '' OR shared = 0 THEN 0.0 ELSE 2 * (shared / len(x_)) * (shared / len(y_)) / (shared / len(x_) + shared / len(y_)) END, 9)::DOUBLE AS similarity FROM h""",
+)
 def size_normalized(spark, sf):
     names = F.array(*[F.lit(c) for c in V.FEATURES])
     kind = F.element_at(names, (F.col("p_partkey") % len(V.FEATURES) + 1).cast("int"))
     raw, other = _raw(F.col("p_partkey")), _raw(F.col("p_partkey") + 10)
     rows = table(spark, sf, "part").select("p_partkey", kind.alias("kind"), raw.alias("raw"), other.alias("other"))
     k = F.col("kind")
-    return rows.select("p_partkey", "kind", "raw", X.size(F.col("raw"), k).alias("size"), X.size_similarity(F.col("raw"), F.col("other"), k).alias("similarity"))
+    return rows.select("p_partkey", "kind", "raw", X.size(F.col("raw"), k).alias("size"), F.round(X.size_similarity(F.col("raw"), F.col("other"), k), 9).alias("similarity"))
 
 
 @query(
@@ -179,7 +198,7 @@ def chat_rows(spark, sf):
 
 @query(
     "records_aligned",
-    """WITH p AS (SELECT o_orderkey AS pos, o_custkey % 300 AS a, o_custkey % 700 AS b FROM orders WHERE o_orderkey % 3 = 0), t AS (SELECT o_orderkey AS pos, o_custkey % 300 AS a FROM orders WHERE o_orderkey % 5 = 0),
+    """WITH p AS (SELECT o_orderkey AS pos, o_custkey % 300 AS a, o_custkey % 700 AS b FROM orders), t AS (SELECT o_orderkey AS pos, o_custkey % 300 AS a FROM orders),
 own AS (SELECT k, min(pos) AS prediction FROM (SELECT concat('a', a) AS k, pos FROM p UNION ALL SELECT concat('b', b), pos FROM p) GROUP BY k),
 ask AS (SELECT t.pos AS truth, own.prediction, own.k AS key FROM t JOIN own ON own.k = concat('a', t.a)), win AS (SELECT prediction, min(truth) AS truth FROM ask GROUP BY prediction)
 SELECT t.pos AS truth, ask.prediction AS prediction, ask.key AS key FROM t LEFT JOIN win ON win.truth = t.pos LEFT JOIN ask ON ask.truth = win.truth""",
@@ -187,8 +206,8 @@ SELECT t.pos AS truth, ask.prediction AS prediction, ask.key AS key FROM t LEFT
 def records_aligned(spark, sf):
     orders = table(spark, sf, "orders")
     a, b = (F.concat(F.lit(n), F.col("o_custkey") % m) for n, m in (("a", 300), ("b", 700)))
-    predictions = orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("pos"), F.array(a, b).alias("keys"))
-    truth = orders.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("pos"), F.array(a).alias("keys"))
+    predictions = orders.select(F.col("o_orderkey").alias("pos"), F.array(a, b).alias("keys"))
+    truth = orders.select(F.col("o_orderkey").alias("pos"), F.array(a).alias("keys"))
     return R.align(truth, predictions)
 
 

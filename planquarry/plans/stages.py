@@ -8,10 +8,10 @@ from ..functions import vocabulary as V
 from ..operators import retrieval as R
 from ..operators import stages as S
 from ..sources.tables import table
-from .boxes import BASE, boxes
+from .boxes import BASE, boxes, for_duckdb
 
 QUERIES, ORACLE_SQL = {}, {}
-_BASE = "WITH " + BASE.replace("AS STRING", "AS VARCHAR")
+_BASE = "WITH " + for_duckdb(BASE)
 
 
 def query(name: str, oracle: str | None = None):

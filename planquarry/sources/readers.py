@@ -168,3 +168,15 @@ def chunks(text: Column, size: int, overlap: int) -> Column:
         return F.struct(F.when(fits, s["done"]).otherwise(F.array_append(s["done"], s["open"])).alias("done"), F.when(fits, joined).otherwise(tail).alias("open"))
 
     return F.aggregate(parts, start, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], s["open"])))
+
+
+def reports(spark: SparkSession, paths: dict[str, str], columns: str) -> DataFrame:
+    """(label, columns..) of JSON reports, one object per file; columns that a report lacks are null. A few small files."""
+    out = None
+    for label, path in paths.items():
+        one = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<{_as_struct(columns)}>", {"mode": "FAILFAST"}).alias("r"))
+        one = one.select(F.lit(label).alias("label"), "r.*")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no reports")
+    return out

@@ -141,3 +141,14 @@ def test_parsing_columns(spark):
     assert got == [[("A", "", [1.0, 2.0, 3.0, 4.0])], None, None]
     snapped = rows.sparkSession.createDataFrame([("ound Hole",), ("zzz",), (None,)], "t string").select(P.snap(V.FEATURES)("t").alias("s"))
     assert [r.s for r in snapped.collect()] == ["Round Hole", "zzz", None]
+
+
+def test_families_have_no_cap(spark):
+    name = "part" + "_rot5" * 9 + ".png"
+    assert one(spark, X.family_id(lit(name)), X.safe_stem(lit("")), X.safe_stem(lit("a b"))) == ("part", "image", "a_b")
+
+
+def test_older_and_newer_signs_in_sizes(spark):
+    values = ["DIA.deg", "45deg", "8 mm x 9MM", "1,5,2", "dia. 5", "DIA.5", "3.00", "3.001"]
+    got = one(spark, *[X.size(lit(v)) for v in values])
+    assert got == ("ØDEG", "45DEG", "8X9", "1.5.2", "Ø.5", "Ø5", "3", "3.001")

@@ -298,3 +298,76 @@ def test_all_orders_are_aligned(spark):
         wanted.append((o.k, own[key] if key else None, key))
     got = sorted(tuple(r) for r in records.records_aligned_all(spark, sf).select("truth", "prediction", "key").collect())
     assert got == sorted(wanted) and len(got) == len(orders)
+
+
+def test_alike_classes_are_suppressed_in_turn(spark):
+    """Against the rule read aloud: boxes in order, each against the later ones."""
+    import random
+
+    from planquarry.operators import matching
+
+    r = random.Random(3)
+    rows = []
+    for image in range(12):
+        for pos in range(r.randint(1, 14)):
+            x = float(r.choice([0, 1, 2, 40]))
+            rows.append((image, pos, r.choice(["Chamfer", "Fillet", "Fillet Group", "Round Hole"]), r.choice([[x, 0.0, x + 20, 20.0], None, [x, 0.0, x + 20, 20.0]]), r.choice(["", None, "R5"])))
+
+    def overlap(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        both = max(0, w) * max(0, h)
+        return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both)
+
+    wanted = set()
+    for image in {x[0] for x in rows}:
+        own = sorted(x for x in rows if x[0] == image)
+        gone = set()
+        for k, a in enumerate(own):
+            if k in gone:
+                continue
+            for j in range(k + 1, len(own)):
+                b = own[j]
+                if j in gone or not a[3] or not b[3] or a[2] == b[2] or "Round Hole" in (a[2], b[2]) or overlap(a[3], b[3]) <= 0.7:
+                    continue
+                gone.add(k if b[4] and not a[4] else j)
+            if k not in gone:
+                wanted.add((image, a[1]))
+    df = spark.createDataFrame(rows, "image int, pos int, cat string, box array<double>, size string").repartition(3)
+    assert {(x.image, x.pos) for x in matching.suppress_across(df).collect()} == wanted
+
+
+def test_benchmark_rows_are_the_best_of_all(spark):
+    import math
+    import random
+    from collections import Counter
+
+    from planquarry.operators import sampling
+
+    r = random.Random(5)
+    rows = [(f"d{k:03d}", sorted(r.sample("abcdef", r.randint(0, 3))), r.randint(0, 40)) for k in range(150)]
+    n = 30
+    weight = {c: 1 / math.sqrt(x) for c, x in Counter(c for x in rows for c in x[1]).items()}
+    chosen, out, left = Counter(), [], list(rows)
+    for _ in range(n):
+        score = lambda x: round(sum(weight[c] / (1 + chosen[c]) for c in x[1]) + 0.05 * len(x[1]) - 0.002 * max(0, x[2] - 12), 8)
+        best = max(left, key=lambda x: (score(x), len(x[1]), -x[2], x[0]))
+        left.remove(best)
+        out.append(best[0])
+        chosen.update(best[1])
+    df = spark.createDataFrame(rows, "name string, categories array<string>, objects int").repartition(4)
+    assert [x.name for x in sampling.benchmark_select(df, n).orderBy("turn").collect()] == out
+    assert sampling.benchmark_select(df.where("false"), n).count() == 0
+
+
+def test_hard_and_general_rows(spark):
+    import pytest
+
+    from planquarry.operators import sampling
+
+    pool = spark.createDataFrame([(k, ["a"] if k % 10 == 0 else ["b"] if k % 10 == 1 else []) for k in range(60)], "index long, labels array<string>")
+    got = sampling.hard_and_general(pool, ["a", "b"], 20, 0.3, 1, "m").collect()
+    parts = {p: sorted(x["index"] for x in got if x["part"] == p) for p in ("hard", "general")}
+    assert len(parts["hard"]) == 6 and len(parts["general"]) == 14 and not set(parts["hard"]) & set(parts["general"])
+    assert sum(k % 10 == 0 for k in parts["hard"]) == 3 and sum(k % 10 == 1 for k in parts["hard"]) == 3
+    with pytest.raises(ValueError):
+        sampling.hard_and_general(pool, ["a"], 200, 0.1, 1, "m")
