@@ -165,7 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """Fit on at most `sample` labelled documents. labels: (doc_id, quality), nulls left out."""
     # The bound on the sample is the bound on what is broadcast and gathered.
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")
+    # Of rows with one id the smallest text is the labelled one, so as many texts are gathered as labels.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("quality", "text")
 
     @frugal
 
@@ -190,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
         for i in range(b.num_rows):
             rows.append((b.column(0)[i].as_py(), *(b.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (1, 2, 3))))
     # Rows come in any order; the fit must not depend on it.
-    rows.sort(key=lambda r: (r[0], r[1].tolist()))
+    rows.sort(key=lambda r: (r[0], r[1].tolist(), r[2].tobytes(), r[3].tobytes()))
     return fit(rows)
 
 
