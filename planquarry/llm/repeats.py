@@ -13,7 +13,9 @@ windows have equal anchors at equal places. Neighbouring windows with one anchor
    (document, start) repeat.
 
 Bloom filters of bounded size carry counts and chosen segments back to the texts: their false positives add work
-and change nothing. Anchors of very many segments are split by a second anchor inside the windows.
+and change nothing. Anchors of very many segments are split by a second anchor inside the windows. Where more than
+CROWD different segments still share their anchors (a passage with as many neighbours), no group is gathered: each of
+their windows is dealt by the hash of its bytes, and all but its first copy repeat.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ LENGTH = 100
 GRAM = 20
 #: An anchor of at least this many segments is split by a second anchor.
 FREQUENT = 200
+#: Different segments of one anchor beyond which their windows are settled one by one.
+CROWD = 2000
 #: Segments that a task holds before it sends them on.
 HELD = 300_000
 #: Bytes that one suffix array covers, unless one anchor has more.
@@ -183,6 +187,17 @@ def _segments(batches, length, several, frequent):
             }, (data, lo)
 
 
+def _windows(c: dict, rows: np.ndarray, data: np.ndarray, lo: np.ndarray, length: int) -> dict:
+    """The windows of these segments as segments of their own, keyed by the hashes of their bytes."""
+    many = c["span"][rows].astype(np.int64) + 1
+    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    at = np.repeat(lo[rows], many) + step
+    sums, down = prefix_hashes(data)
+    key = mix(mix((sums[at + length] - sums[at]) * down[at]) + _U(length))
+    own = {k: np.repeat(c[k][rows], many) for k in ("doc_id", "mark", "lo")}
+    return {"key": key, "content": key, **own, "lo": (own["lo"].astype(np.int64) + step).astype(np.uint32), "span": np.zeros(len(at), np.uint8)}
+
+
 def _place(c: dict) -> np.ndarray:
     """One number for a segment's document and place."""
     return mix(c["doc_id"].view(_U) * _U(0x9E3779B97F4A7C15) + mix(c["mark"] + mix(c["lo"].astype(_U))))
@@ -290,7 +305,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     earlier somewhere. docs: (doc_id, text, mark)."""
     if not GRAM < length < GRAM + 256:
         raise ValueError(f"length must be over {GRAM} and under {GRAM + 256}")
-    spark = docs.sparkSession
+    spark, crowd = docs.sparkSession, CROWD
     total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     parts = min(parts_for(spark, total, 20 << 20), 1 << 20)
 
@@ -325,11 +340,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     often = counted.where(F.col("n") >= FREQUENT)
     filters = spark.sparkContext.broadcast((bloom_filter(counted, "key", counted.count()), bloom_filter(often, "key", often.count())))
 
-    @frugal
-
-    def dealt(batches):
+    def dealt_from(found):
         """Segments by key, of equal ones in a task the first only; the others repeat and are sent as such (part -1)."""
-        several, frequent = filters.value
         held, size = [], 0
 
         def flush():
@@ -348,7 +360,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 )
             yield _send(parts, {k: c[k][firsts] for k, _ in _FIELDS})
 
-        for c, _ in _segments(batches, length, several, frequent):
+        for c in found:
             held.append(c)
             size += len(c["key"])
             if size > HELD:
@@ -357,6 +369,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if size:
             yield from flush()
 
+    @frugal
+
+    def dealt(batches):
+        yield from dealt_from(c for c, _ in _segments(batches, length, *filters.value))
+
     @frugal_group
 
     def settle(key, rows):
@@ -368,8 +385,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         same = (c["doc_id"][order] == c["doc_id"][lead]) & (c["mark"][order] == c["mark"][lead]) & (c["lo"][order] == c["lo"][lead])
         keys = c["key"][order[first]]
         begins = np.append(True, keys[1:] != keys[:-1])
-        alone = begins & np.append(begins[1:], True)
-        return pa.Table.from_batches([_spans(c, order[~first & ~same], 0), _spans(c, order[first][~alone], 1)])
+        which = np.cumsum(begins) - 1
+        many = np.bincount(which)[which] if len(which) else which
+        few, crowded = order[first][(many > 1) & (many <= crowd)], order[first][many > crowd]
+        return pa.Table.from_batches([_spans(c, order[~first & ~same], 0), _spans(c, few, 1), _spans(c, crowded, 2)])
 
     fields = ", ".join(f"{k} binary" for k, _ in _FIELDS)
     settled = written(docs.mapInArrow(dealt, f"part int, {fields}").groupBy("part").applyInArrow(settle, _SPANS), "repeats")
@@ -381,8 +400,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             c = {"doc_id": b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), "mark": b.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(_U), "lo": b.column(2).to_numpy()}
             yield pa.RecordBatch.from_arrays([pa.array(_place(c).view(np.int64))], ["place"])
 
-    unsettled = settled.where("kind = 1").select("doc_id", "mark", "lo").mapInArrow(places, "place long")
-    chosen = spark.sparkContext.broadcast(bloom_filter(unsettled, "place", settled.where("kind = 1").count()))
+    counts = {r.kind: r["count"] for r in settled.groupBy("kind").count().collect()}
+    of_kind = lambda kind: settled.where(F.col("kind") == kind).select("doc_id", "mark", "lo").mapInArrow(places, "place long")
+    chosen, dense = (spark.sparkContext.broadcast(bloom_filter(of_kind(k), "place", counts.get(k, 0))) for k in (1, 2))
+
+    @frugal
+
+    def windows(batches):
+        def found():
+            for c, (data, lo) in _segments(batches, length, *filters.value):
+                rows = np.flatnonzero(in_filter(*dense.value, _place(c)))
+                # A block may hold many such windows: they are held in parts.
+                for at in range(0, len(rows), 2000):
+                    yield _windows(c, rows[at : at + 2000], data, lo, length)
+
+        yield from dealt_from(found())
 
     @frugal
 
@@ -436,9 +468,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     sent = docs.mapInArrow(bodies, f"part int, body binary, {fields}")
     expanded = written(sent.groupBy("part").applyInArrow(expand, _SPANS), "repeats")
-    filters.destroy()
-    chosen.destroy()
-    return settled.where("kind = 0").unionByName(expanded).select("doc_id", "mark", "lo", "span")
+    out = settled.where("kind = 0").unionByName(expanded)
+    if counts.get(2):
+        single = docs.mapInArrow(windows, f"part int, {fields}").groupBy("part").applyInArrow(settle, _SPANS)
+        out = out.unionByName(written(single, "repeats").where("kind = 0"))
+    for held in (filters, chosen, dense):
+        held.destroy()
+    return out.select("doc_id", "mark", "lo", "span")
 
 
 def with_marks(docs: DataFrame) -> DataFrame:

@@ -339,9 +339,10 @@ def cut_by_hand(rows, n=100):
     return out
 
 
-@pytest.mark.parametrize("frequent", [200, 4])
-def test_repeats_match_brute_force(spark, tmp_path, frequent, monkeypatch):
+@pytest.mark.parametrize("frequent, crowd", [(200, 2000), (4, 2000), (4, 3), (200, 1)])
+def test_repeats_match_brute_force(spark, tmp_path, frequent, crowd, monkeypatch):
     monkeypatch.setattr(repeats, "FREQUENT", frequent)
+    monkeypatch.setattr(repeats, "CROWD", crowd)
     monkeypatch.setattr(repeats, "HELD", 500)
     rows = documents(near=40, passage=40)
     sf = table_dir(spark, tmp_path, documents=frame(spark, rows).repartition(5))
