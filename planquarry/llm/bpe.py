@@ -27,7 +27,7 @@ from .common import frugal, table
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes that a worker's word table holds, by estimate, before it starts anew; an entry costs ENTRY besides its word.
-TABLE_BYTES = 72 << 20
+TABLE_BYTES = 192 << 20
 ENTRY = 160
 
 
