@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterable
 
@@ -13,6 +14,9 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 
+#: Bins that a round of counting looks at, and rows of a bin that are sorted.
+BINS, SORTED = 1024, 10_000
+
 
 def random_select(rows: DataFrame, n: int, seed: int, namespace: str, index: str = "index") -> DataFrame:
     """n rows in hash order; only partial top n are exchanged."""
@@ -33,13 +37,28 @@ def stratified(rows: DataFrame, stratum: str, shares: dict[str, float], seed: in
 
 
 def holdout(rows: DataFrame, share: float, seed: int, index: str = "index") -> DataFrame:
-    """A share of all rows in hash order, one at least, is "val". The cut is found by counting, not by a global sort."""
-    ranked = rows.withColumn("rank", X.stable_rank(seed, "holdout", F.col(index)))
+    """A share of all rows in hash order, one at least, is "val". The cut is found by counting ranks in bins, ever finer
+    ones around it, until the bin that it falls in holds few rows; only these are sorted. Rows of one index share a rank."""
+    ranked = rows.withColumn("__rank", X.stable_rank(seed, "holdout", F.col(index)))
     n = ranked.count()
-    k = max(1, int(n * share)) if n else 0
-    last = ranked.select("rank", index).orderBy("rank", index).limit(k).agg(F.max(F.struct("rank", index)).alias("m"))
-    inside = F.struct("rank", F.col(index)) <= F.col("m")
-    return ranked.crossJoin(F.broadcast(last)).withColumn("split", F.when(inside, "val").otherwise("train")).drop("m", "rank")
+    left = max(1, int(n * share)) if n else 0
+    low, width = 0, 1 << 64
+    inside = ranked.select("__rank", index)
+    while width >= BINS:
+        step = width // BINS
+        # Integral division of decimals is exact; a quotient could be rounded up to the next bin.
+        bins = inside.groupBy(F.expr(f"CAST((__rank - {low}BD) div {step}BD AS INT)").alias("bin")).count().orderBy("bin").collect()
+        at = next((k for k, total in enumerate(itertools.accumulate(b["count"] for b in bins)) if total >= left), None)
+        if at is None:
+            break
+        left -= sum(b["count"] for b in bins[:at])
+        low, width = low + bins[at].bin * step, step
+        inside = inside.where(f"__rank >= {low}BD AND __rank < {low + width}BD")
+        if bins[at]["count"] <= SORTED:
+            break
+    last = inside.orderBy("__rank", index).limit(left).agg(F.max(F.struct("__rank", index)).alias("m"))
+    before = F.struct("__rank", F.col(index)) <= F.col("m")
+    return ranked.crossJoin(F.broadcast(last)).withColumn("split", F.when(before, "val").otherwise("train")).drop("m", "__rank")
 
 
 def oversample(rows: DataFrame, labels: str, multipliers: dict[str, int]) -> DataFrame:

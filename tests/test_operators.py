@@ -371,3 +371,19 @@ def test_hard_and_general_rows(spark):
     assert sum(k % 10 == 0 for k in parts["hard"]) == 3 and sum(k % 10 == 1 for k in parts["hard"]) == 3
     with pytest.raises(ValueError):
         sampling.hard_and_general(pool, ["a"], 200, 0.1, 1, "m")
+
+
+def test_holdout_cut_by_bins(spark, monkeypatch):
+    """The same rows as a sort of all ranks gives."""
+    import hashlib
+
+    from planquarry.operators import sampling
+
+    monkeypatch.setattr(sampling, "SORTED", 2)
+    monkeypatch.setattr(sampling, "BINS", 8)
+    rank = lambda k: (int.from_bytes(hashlib.sha256(f"5\0holdout\0{k}".encode()).digest()[:8], "big"), k)
+    for n, share in ((500, 0.1), (500, 0.97), (3, 0.01), (40, 1.0)):
+        got = sampling.holdout(spark.range(n).withColumnRenamed("id", "index").repartition(3), share, 5).collect()
+        wanted = sorted(range(n), key=rank)[: max(1, int(n * share))]
+        assert len(got) == n and sorted(x["index"] for x in got if x["split"] == "val") == sorted(wanted)
+    assert sampling.holdout(spark.range(0).withColumnRenamed("id", "index"), 0.5, 5).count() == 0
