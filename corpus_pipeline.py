@@ -14,7 +14,8 @@ ORACLE_SQL = None
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts. It learns from the labels outside the held-out fold."""
+    """Documents that the classifier accepts. It learns from the labels outside the held-out fold. Null and empty texts are
+    scored as texts without words; repeated rows are judged alike; an empty table gives no rows."""
     give_back(spark)
     machine = quality.train(docs, table(spark, sf_dir, "labels").where(~quality.fold()))
     return quality.keep_good(docs, machine)
@@ -43,7 +44,8 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 tokens."""
+    """Pieces of all documents in sequences of at most 2048 tokens. Null and empty texts are their end id; repeated rows are
+    packed each; an empty table gives no rows."""
     small_batches(spark)
     give_back(spark)
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))

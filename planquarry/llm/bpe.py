@@ -302,6 +302,8 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", row_id: str = "do
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and of decoded text of all `documents`. Null and empty texts have no ids, very long texts are encoded whole,
+    repeated rows stay, an empty table gives no rows."""
     return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 

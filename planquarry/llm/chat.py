@@ -130,6 +130,8 @@ def read_back(formatted: Column, t: Template = Template()) -> Column:
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all `conversations` and a planted one, read back from their formatted texts. Null texts and roles are empty,
+    rows without conv_id are one conversation, an empty table leaves the planted one."""
     t = Template()
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.sql(

@@ -239,6 +239,8 @@ def edited_pairs(docs: DataFrame, slice_rows: int = 512) -> DataFrame:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all `documents` and of their edited texts; see `edited_pairs` and `with_next` for ties and null ids. Null
+    texts are empty, texts are parsed whole, an empty table gives no rows."""
     return edited_pairs(table(spark, sf_dir, "documents"))
 
 

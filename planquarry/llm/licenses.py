@@ -170,6 +170,7 @@ def scan(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFra
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence words, places and labels of all `documents`; see `scan` for nulls, empty and long texts and repeated rows."""
     return scan(table(spark, sf_dir, "documents")).drop("places")
 
 

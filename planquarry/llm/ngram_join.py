@@ -422,6 +422,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, text: str = "text",
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near duplicates of all `documents`. Null and empty texts have no shingles and stand alone, ids may be null or
+    repeated, texts may be of any length, an empty table gives no rows; other columns are not looked at."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 

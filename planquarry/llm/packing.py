@@ -182,6 +182,8 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = 1, text: st
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` in sequences of 2048 ids. Null and empty texts are their end id, very long texts are cut, repeated rows are
+    packed each, an empty table gives no rows; other columns are not looked at."""
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 

@@ -234,6 +234,8 @@ def fold(row_id: str = "doc_id"):
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all `documents`. Null and empty texts get the score of no words, null ids are not held out, repeated rows are scored
+    each, an empty table gives no rows; without labels all scores lie near 0.5."""
     docs = table(spark, sf_dir, "documents")
     machine = train(docs, table(spark, sf_dir, "labels").where(~fold()))
     return score(docs, machine, "doc_id").select(

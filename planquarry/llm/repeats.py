@@ -532,6 +532,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = False,
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` without repeated passages; see `cut_repeats` for repeated rows. Null texts are empty, null ids count as the
+    smallest id, texts of any length are taken whole, an empty table gives no rows."""
     return cut_repeats(table(spark, sf_dir, "documents"))
 
 

@@ -128,6 +128,7 @@ def shard(
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `documents` in 16 shards of near equal bytes; see `shard` for nulls, repeated rows and empty tables."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return shard(docs).select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", F.col("slot").cast("long").alias("slot"),

@@ -233,6 +233,8 @@ def near_vectors(
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all `embeddings`. Null labels and unusable vectors stand alone, equal vectors are one with a weight
+    (0.0 and -0.0 are equal), vectors of different lengths never link, an empty table gives no rows."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 

@@ -190,3 +190,9 @@ def test_vector_decoding_finds_every_filter_over_the_cap():
             every = ((y[k, :8] @ a.T)[:, None] + (y[k, 8:] @ b.T)[None, :]).ravel()
             over = np.flatnonzero(every >= cap / 4)
             assert sorted(found) == sorted(over if len(over) >= least else np.argsort(-every, kind="stable")[:least])
+
+
+def test_vectors_signed_zeros_and_null_ids(spark):
+    rows = [(1, [0.0, 1.0], "a"), (2, [-0.0, 1.0], "a"), (3, [0.0, 1.0, 0.0], "a"), (None, [1.0, 0.0], "b"), (5, None, "a"), (6, [0.0, 0.0], "a")]
+    got = {(r.vec_id, r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()}
+    assert got == {(1, 1, 1), (2, 1, 1), (3, 0, 3), (None, 0, None), (5, 0, 5), (6, 0, 6)}
