@@ -15,6 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from . import crowded
+
+# More pairs of a drawing's boxes than this are not held as one matrix.
+MATRIX = 1 << 22
+# Coordinates beyond it keep the matrix: areas overflow.
+FAR = 1e100
 
 
 def _overlaps(p: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -214,22 +220,28 @@ def suppress_across(boxes: DataFrame) -> DataFrame:
     the later one. Boxes take their turn in order; one that has gone takes none. Others stay as they are.
     boxes: (image, pos, cat, box, size); rows without box stay."""
     names = ["image", "pos", "cat", "box", "size"]
-    rows = boxes.select(*names)
-    mixed = F.col("cat").isin(ALIKE) & F.col("box").isNotNull()
+    most = MATRIX
+    mixed = F.coalesce(F.col("cat").isin(ALIKE) & F.col("box").isNotNull(), F.lit(False))
+    rows = boxes.select(*names, mixed.alias("mixed"))
 
     def one(group: pa.Table) -> pa.Table:
+        others = group.filter(pc.invert(group["mixed"])).select(names)
+        group = group.filter(group["mixed"]).select(names).combine_chunks()
         group = group.take(pc.sort_indices(group, sort_keys=[("pos", "ascending")]))
-        corners = np.array(group["box"].to_pylist(), float).reshape(-1, 4)
-        cats = np.array(group["cat"].to_pylist(), object)
-        sized = np.array([bool(s) for s in group["size"].to_pylist()])
-        left = np.ones(len(cats), bool)
-        for k in range(len(cats)):
-            if left[k]:
-                rivals = (_overlaps(corners[k : k + 1], corners[k + 1 :])[0] > ALIKE_OVERLAP) & left[k + 1 :] & (cats[k + 1 :] != cats[k])
-                better = rivals & sized[k + 1 :] & ~sized[k]
-                left[k + 1 :] &= ~rivals | better
-                left[k] = not better.any()
-        return group.filter(pa.array(left))
-
-    kept = rows.where(mixed).groupBy("image").applyInArrow(one, rows.schema)
-    return kept.unionByName(rows.where(~F.coalesce(mixed, F.lit(False))))
+        corners = pc.list_flatten(group["box"]).to_numpy().astype(float).reshape(-1, 4)
+        codes = pc.index_in(group["cat"], pa.array(ALIKE)).to_numpy().astype(np.int64)
+        sized = pc.fill_null(pc.not_equal(group["size"], ""), False).to_numpy()
+        if len(codes) ** 2 > most and np.abs(corners[crowded.sound(corners)]).max(initial=0) < FAR:
+            left = crowded.rivals_suppressed(corners, codes, sized, ALIKE_OVERLAP)
+        else:
+            left = np.ones(len(codes), bool)
+            for k in range(len(codes)):
+                if left[k]:
+                    rivals = (_overlaps(corners[k : k + 1], corners[k + 1 :])[0] > ALIKE_OVERLAP) & left[k + 1 :] & (codes[k + 1 :] != codes[k])
+                    better = rivals & sized[k + 1 :] & ~sized[k]
+                    left[k + 1 :] &= ~rivals | better
+                    left[k] = not better.any()
+        return pa.concat_tables([group.filter(pa.array(left)), others])
+
+    # Other rows go along with their image: the input is read and dealt once.
+    return rows.groupBy("image").applyInArrow(one, boxes.select(*names).schema)

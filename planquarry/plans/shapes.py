@@ -187,9 +187,10 @@ def chamfers_against_fillets(spark, sf):
     _, truth = boxes(spark, sf)
     pick = lambda n: F.element_at(F.array(*[F.lit(c) for c in ("Chamfer", "Fillet", "Fillet Group", "Round Hole")]), (n % 4 + 1).cast("int"))
     size = F.when(F.col("pos") % 3 == 0, "").otherwise(F.col("size"))
-    one = truth.select("image", (F.col("pos") * 2).alias("pos"), pick(F.col("pos")).alias("cat"), "box", size.alias("size"))
-    two = truth.select("image", (F.col("pos") * 2 + 1).alias("pos"), pick(F.col("pos") + 1).alias("cat"), F.transform("box", lambda v: v + 1).alias("box"), "size")
-    return M.suppress_across(one.unionByName(two)).select("image", "pos", "cat")
+    one = F.struct((F.col("pos") * 2).alias("pos"), pick(F.col("pos")).alias("cat"), F.col("box"), size.alias("size"))
+    two = F.struct((F.col("pos") * 2 + 1).alias("pos"), pick(F.col("pos") + 1).alias("cat"), F.transform("box", lambda v: v + 1).alias("box"), F.col("size"))
+    both = truth.select("image", F.explode(F.array(one, two)).alias("b")).select("image", "b.*")
+    return M.suppress_across(both).select("image", "pos", "cat")
 
 
 # Metrics
