@@ -1,7 +1,7 @@
 """One-to-one matching of predicted and true boxes.
 
 `match` deals both sides by image and works one image at a time on arrays: all overlaps at once, then the order
-of choice. A fold in SQL functions says the same (`candidates`, then `greedy` or an ordered variant) and is there
+of choice; drawings of more than MATRIX pairs find only the pairs that overlap (`crowded`). A fold in SQL functions says the same (`candidates`, then `greedy` or an ordered variant) and is there
 for candidates that come from elsewhere; it copies its state at every step, so it is for few candidates per image.
 """
 
@@ -33,6 +33,16 @@ def _overlaps(p: np.ndarray, g: np.ndarray) -> np.ndarray:
     return np.where(union > 0, both / np.where(union > 0, union, 1), 0.0)
 
 
+def _paired(p: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """IoU of each box with the one beside it."""
+    w = np.minimum(p[:, 2], g[:, 2]) - np.maximum(p[:, 0], g[:, 0])
+    h = np.minimum(p[:, 3], g[:, 3]) - np.maximum(p[:, 1], g[:, 1])
+    both = np.maximum(w, 0) * np.maximum(h, 0)
+    area = lambda b: np.maximum(b[:, 2] - b[:, 0], 0) * np.maximum(b[:, 3] - b[:, 1], 0)
+    union = area(p) + area(g) - both
+    return np.where(union > 0, both / np.where(union > 0, union, 1), 0.0)
+
+
 def _choose(iou: np.ndarray, fine: np.ndarray, same: np.ndarray, how: str) -> list[tuple[int, int]]:
     if how in ("greedy", "label"):
         u, v = np.nonzero(fine)
@@ -72,6 +82,7 @@ def match(predicted: DataFrame, truth: DataFrame, threshold: float, how: str = "
     if how not in ("greedy", "label", "prediction", "truth"):
         raise ValueError(f"unknown order of choice: {how}")
     kind = dict(predicted.dtypes)["image"]
+    most = MATRIX
     flat = lambda df: df.where("box IS NOT NULL").select("image", "pos", "cat", *[F.col("box")[i].alias(f"b{i}") for i in range(4)])
 
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -79,17 +90,23 @@ def match(predicted: DataFrame, truth: DataFrame, threshold: float, how: str = "
         out = {"image": [], "p": [], "g": [], "iou": [], "same": []}
         if len(p) and len(g):
             corner = ["b0", "b1", "b2", "b3"]
-            iou = _overlaps(p[corner].to_numpy(float), g[corner].to_numpy(float))
+            a, b = p[corner].to_numpy(float), g[corner].to_numpy(float)
             codes, _ = pd.factorize(pd.concat([p["cat"], g["cat"]]), use_na_sentinel=False)
-            same = codes[: len(p), None] == codes[None, len(p) :]
-            fine = (iou > threshold) if strict else (iou >= threshold)
-            if same_category:
-                fine &= same & p["cat"].notna().to_numpy()[:, None]
-            chosen = _choose(iou, fine, same, how)
+            if len(p) * len(g) > most and threshold > 1e-6 and all(np.abs(x[crowded.sound(x)]).max(initial=0) < FAR for x in (a, b)):
+                usable = [x["cat"].notna().to_numpy() | (not same_category) for x in (p, g)]
+                chosen = crowded.choose(a, b, codes[: len(p)], codes[len(p) :], *usable, threshold, strict, same_category, how)
+            else:
+                iou = _overlaps(a, b)
+                same = codes[: len(p), None] == codes[None, len(p) :]
+                fine = (iou > threshold) if strict else (iou >= threshold)
+                if same_category:
+                    fine &= same & p["cat"].notna().to_numpy()[:, None]
+                chosen = _choose(iou, fine, same, how)
             if chosen:
                 u, v = np.array(chosen).T
                 image = p["image"].iloc[0]
-                out = {"image": [image] * len(u), "p": p["pos"].to_numpy()[u], "g": g["pos"].to_numpy()[v], "iou": iou[u, v], "same": same[u, v]}
+                same = codes[: len(p)][u] == codes[len(p) :][v]
+                out = {"image": [image] * len(u), "p": p["pos"].to_numpy()[u], "g": g["pos"].to_numpy()[v], "iou": _paired(a[u], b[v]), "same": same}
         return pd.DataFrame(out)
 
     grouped = flat(predicted).groupBy("image").cogroup(flat(truth).groupBy("image"))

@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -64,3 +65,33 @@ def test_rivals_of_a_crowded_drawing_are_found_in_time(spark, monkeypatch):
     began = time.process_time()
     assert sorted(one(pa.table(columns))["pos"].to_pylist()) == list(range(n))
     assert time.process_time() - began < 5
+
+
+@pytest.mark.parametrize("how", ["greedy", "label", "prediction", "truth"])
+@pytest.mark.parametrize("same", [True, False])
+def test_crowded_drawings_are_matched_as_small_ones(spark, monkeypatch, how, same):
+    r = np.random.default_rng(6)
+    p, g = (spark.createDataFrame(drawn(r, 4, n, ["A", "B"]), BOX) for n in (70, 50))
+    listed = lambda: [sorted(map(tuple, M.match(p, g, t, how, same, strict).collect())) for t, strict in ((0.2, False), (0.5, True), (0.85, False))]
+    wanted = listed()
+    monkeypatch.setattr(M, "MATRIX", 0, raising=False)
+    assert listed() == wanted and all(wanted)
+
+
+@pytest.mark.parametrize("how", ["greedy", "label", "prediction", "truth"])
+def test_a_crowded_drawing_is_matched_in_little_memory(spark, monkeypatch, how):
+    """4,000 boxes on either side: one matrix of them takes 128 MB, and several were held."""
+    import tracemalloc
+
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+
+    df = spark.createDataFrame([(0, 0, "A", [0.0, 0.0, 1.0, 1.0], "")], BOX)
+    one = applied(monkeypatch, PandasCogroupedOps, "applyInPandas", lambda: M.match(df, df, 0.4, how, False))
+    r = np.random.default_rng(7)
+    x, y = r.integers(0, 300, (2, 4000)).astype(float)
+    side = pd.DataFrame({"image": 0, "pos": np.arange(4000), "cat": "A", "b0": x, "b1": y, "b2": x + r.integers(20, 100, 4000), "b3": y + r.integers(20, 80, 4000)})
+    tracemalloc.start()
+    out = one(side, side)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) > 3900 and (out["iou"] >= 0.4).all() and most < 100e6
