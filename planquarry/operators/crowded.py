@@ -238,8 +238,9 @@ def _in_turn(first: _Types, second: _Types, least: float, strict: bool, same: bo
             found, held = [], 0
             for u, v, iou in pairs(types, level, strict and level == least):
                 fine = second.left[v]
-                found.append((u[fine], v[fine], iou[fine]))
-                held += int(fine.sum())
+                if fine.any():
+                    found.append((u[fine], v[fine], iou[fine]))
+                    held += int(fine.sum())
                 if held > HELD and size > 1:
                     crowded = True
                     break

@@ -74,12 +74,33 @@ def _choose(iou: np.ndarray, fine: np.ndarray, same: np.ndarray, how: str) -> li
     return out
 
 
+def _chosen(a: np.ndarray, b: np.ndarray, cats: list[np.ndarray], known: list[np.ndarray], threshold: float, how: str, same_category: bool, strict: bool, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the matched boxes a (predicted) and b of one drawing; cats, known: codes of both sides' categories, and which are not null."""
+    if not len(a) or not len(b):
+        return np.zeros(0, int), np.zeros(0, int)
+    if len(a) * len(b) > most and threshold > 1e-6 and all(np.abs(x[crowded.sound(x)]).max(initial=0) < FAR for x in (a, b)):
+        usable = [x | (not same_category) for x in known]
+        chosen = crowded.choose(a, b, *cats, *usable, threshold, strict, same_category, how)
+    else:
+        iou = _overlaps(a, b)
+        same = cats[0][:, None] == cats[1][None, :]
+        fine = (iou > threshold) if strict else (iou >= threshold)
+        if same_category:
+            fine &= same & known[0][:, None]
+        chosen = _choose(iou, fine, same, how)
+    u, v = np.array(chosen, int).reshape(-1, 2).T
+    return u, v
+
+
+HOW = ("greedy", "label", "prediction", "truth")
+
+
 def match(predicted: DataFrame, truth: DataFrame, threshold: float, how: str = "greedy", same_category: bool = True, strict: bool = False) -> DataFrame:
     """Rows (image, p, g, iou, same). how: "greedy" (best overlap of the image first), "label" (overlap and label count
     half each, 0.8 is full), "prediction" or "truth" (each in turn takes its best free partner; of equal ones the first,
     or for "truth" the last). Ties otherwise by position. Positions are unique per image and side; null categories are
     equal to each other only where classes need not agree."""
-    if how not in ("greedy", "label", "prediction", "truth"):
+    if how not in HOW:
         raise ValueError(f"unknown order of choice: {how}")
     kind = dict(predicted.dtypes)["image"]
     most = MATRIX
@@ -87,32 +108,74 @@ def match(predicted: DataFrame, truth: DataFrame, threshold: float, how: str = "
 
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         p, g = left.sort_values("pos"), right.sort_values("pos")
-        out = {"image": [], "p": [], "g": [], "iou": [], "same": []}
-        if len(p) and len(g):
-            corner = ["b0", "b1", "b2", "b3"]
-            a, b = p[corner].to_numpy(float), g[corner].to_numpy(float)
-            codes, _ = pd.factorize(pd.concat([p["cat"], g["cat"]]), use_na_sentinel=False)
-            if len(p) * len(g) > most and threshold > 1e-6 and all(np.abs(x[crowded.sound(x)]).max(initial=0) < FAR for x in (a, b)):
-                usable = [x["cat"].notna().to_numpy() | (not same_category) for x in (p, g)]
-                chosen = crowded.choose(a, b, codes[: len(p)], codes[len(p) :], *usable, threshold, strict, same_category, how)
-            else:
-                iou = _overlaps(a, b)
-                same = codes[: len(p), None] == codes[None, len(p) :]
-                fine = (iou > threshold) if strict else (iou >= threshold)
-                if same_category:
-                    fine &= same & p["cat"].notna().to_numpy()[:, None]
-                chosen = _choose(iou, fine, same, how)
-            if chosen:
-                u, v = np.array(chosen).T
-                image = p["image"].iloc[0]
-                same = codes[: len(p)][u] == codes[len(p) :][v]
-                out = {"image": [image] * len(u), "p": p["pos"].to_numpy()[u], "g": g["pos"].to_numpy()[v], "iou": _paired(a[u], b[v]), "same": same}
-        return pd.DataFrame(out)
+        corner = ["b0", "b1", "b2", "b3"]
+        a, b = p[corner].to_numpy(float), g[corner].to_numpy(float)
+        codes, _ = pd.factorize(pd.concat([p["cat"], g["cat"]]), use_na_sentinel=False)
+        cats = [codes[: len(p)], codes[len(p) :]]
+        u, v = _chosen(a, b, cats, [x["cat"].notna().to_numpy() for x in (p, g)], threshold, how, same_category, strict, most)
+        image = p["image"].iloc[:1].repeat(len(u)).to_numpy()
+        return pd.DataFrame({"image": image, "p": p["pos"].to_numpy()[u], "g": g["pos"].to_numpy()[v], "iou": _paired(a[u], b[v]), "same": cats[0][u] == cats[1][v]})
 
     grouped = flat(predicted).groupBy("image").cogroup(flat(truth).groupBy("image"))
     return grouped.applyInPandas(one, f"image {kind}, p int, g int, iou double, same boolean")
 
 
+# Bytes of input, as Spark estimates them, that are dealt to one task.
+DEALT = 4 << 20
+
+
+def dealt(rows: DataFrame, key: str = "image") -> DataFrame:
+    """Rows dealt by key to as many tasks as their size asks for, at least the session's number: what a task sorts and holds does not
+    grow with the input."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // DEALT, 1 << 14)), key)
+
+
+def _ranked(rows: pa.Table, order: tuple[str, ...]) -> pa.Table:
+    """Rows in Spark's order: null first, NaN last."""
+    keys = {}
+    for k, name in enumerate(order):
+        column = rows[name]
+        if pa.types.is_floating(column.type):
+            keys[f"{k} nan"] = pc.fill_null(pc.cast(pc.is_nan(column), pa.int8()), -1)
+            column = pc.if_else(pc.is_nan(column), pa.scalar(0, column.type), column)
+        keys[f"{k}"] = column
+    return rows.take(pc.sort_indices(pa.table(keys), sort_keys=[(k, "ascending") for k in keys], null_placement="at_start"))
+
+
+def match_lines(
+    lines: DataFrame, order: tuple[str, ...], threshold: float, how: str = "greedy", same_category: bool = True, strict: bool = False, of_truth: tuple[str, ...] = (), of_predicted: tuple[str, ...] = ()
+) -> DataFrame:
+    """`match` of drawings whose true and predicted boxes lie side by side: lines (image, cat, box, p_cat, p_box), a side's box null
+    where it is missing. The position of either side is the line's rank by `order` in its image, from 1. Spark does not sort a
+    drawing's lines; lines from `dealt` are not dealt again. of_truth and of_predicted name columns that matched rows bring along."""
+    if how not in HOW:
+        raise ValueError(f"unknown order of choice: {how}")
+    types, most = dict(lines.dtypes), MATRIX
+    sides = ("p_box", "p_cat"), ("box", "cat")
+    names = list(dict.fromkeys(["image", *order, "cat", "p_cat", *of_truth, *of_predicted]))
+    corners = [F.col(box)[i].cast("double").alias(f"{box}{i}") for box, _ in sides for i in range(4)]
+    there = [F.col(box).isNotNull().alias(f"{box}?") for box, _ in sides]
+
+    def one(rows: pa.Table) -> pa.Table:
+        rows = _ranked(rows.combine_chunks(), order)
+        at = [np.flatnonzero(rows[f"{box}?"].to_numpy()) for box, _ in sides]
+        a, b = (np.stack([rows[f"{box}{i}"].to_numpy()[k] for i in range(4)], 1) for k, (box, _) in zip(at, sides))
+        both = [rows[cat].take(pa.array(k)) for k, (_, cat) in zip(at, sides)]
+        known = [pc.is_valid(x).to_numpy() for x in both]
+        codes, _ = pd.factorize(pd.concat([x.to_pandas() for x in both]), use_na_sentinel=False)
+        cats = [codes[: len(a)], codes[len(a) :]]
+        u, v = _chosen(a, b, cats, known, threshold, how, same_category, strict, most)
+        p, g = (k[x] for k, x in zip(at, (u, v)))
+        out = {"image": rows["image"].take(pa.array(p)), "p": pa.array(p + 1, pa.int32()), "g": pa.array(g + 1, pa.int32()), "iou": _paired(a[u], b[v]), "same": cats[0][u] == cats[1][v]}
+        out |= {c: rows[c].take(pa.array(k)) for k, carried in ((g, of_truth), (p, of_predicted)) for c in carried}
+        return pa.table(out)
+
+    flat = lines.select(*names, *corners, *there)
+    carried = "".join(f", {c} {types[c]}" for c in (*of_truth, *of_predicted))
+    return flat.groupBy("image").applyInArrow(one, f"image {types['image']}, p int, g int, iou double, same boolean{carried}")
+
+
 def candidates(predicted: DataFrame, truth: DataFrame, threshold: float, same_category: bool = True, strict: bool = False) -> DataFrame:
     """(image, p, g, iou, same) of pairs that overlap by `threshold` (more than it if strict).
 
@@ -178,9 +241,12 @@ def in_truth_order(pairs: DataFrame) -> DataFrame:
 
 
 def counts(predicted: DataFrame, truth: DataFrame, matches: DataFrame, by: str = "cat") -> DataFrame:
-    """Per category: tp, fp, fn, iou_sum. A match of unequal categories is a miss on both sides."""
+    """Per category: tp, fp, fn, iou_sum. A match of unequal categories is a miss on both sides. Matches that bring the truth's `by`
+    along are not joined to it."""
     good = matches.where("same")
-    tp = good.join(truth.select("image", F.col("pos").alias("g"), by), ["image", "g"]).groupBy(by).agg(F.count(F.lit(1)).alias("tp"), F.sum("iou").alias("iou_sum"))
+    if by not in matches.columns:
+        good = good.join(truth.select("image", F.col("pos").alias("g"), by), ["image", "g"])
+    tp = good.groupBy(by).agg(F.count(F.lit(1)).alias("tp"), F.sum("iou").alias("iou_sum"))
     n_p = predicted.groupBy(by).agg(F.count(F.lit(1)).alias("n_p"))
     n_g = truth.groupBy(by).agg(F.count(F.lit(1)).alias("n_g"))
     all_ = n_g.join(n_p, by, "full_outer").join(tp, by, "left")

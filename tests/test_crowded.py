@@ -95,3 +95,59 @@ def test_a_crowded_drawing_is_matched_in_little_memory(spark, monkeypatch, how):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(out) > 3900 and (out["iou"] >= 0.4).all() and most < 100e6
+
+
+def _lines(spark, r, images, n):
+    """Lines with both sides, either, neither; order keys that are null, NaN or tied by the first."""
+    rows = []
+    for image in range(images):
+        for k in range(n):
+            true, seen = ([float(v) for v in (*c, *(c + r.integers(0, 9, 2)))] for c in r.integers(0, 20, (2, 2)))
+            key = [None, float("nan"), 1.5, -2.0][int(r.integers(0, 4))]
+            kinds = [None if r.random() < 0.1 else str(r.choice(["A", "B"])) for _ in range(2)]
+            rows.append((image, key, k, kinds[0], true if r.random() < 0.9 else None, f"s{k}", kinds[1], seen if r.random() < 0.8 else None))
+    return spark.createDataFrame(rows, "image long, a double, b int, cat string, box array<double>, size string, p_cat string, p_box array<double>")
+
+
+@pytest.mark.parametrize("most", [0, 1 << 22])
+def test_lines_are_matched_as_sides_with_positions(spark, monkeypatch, most):
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    monkeypatch.setattr(M, "MATRIX", most)
+    lines = _lines(spark, np.random.default_rng(8), 5, 60).cache()
+    placed = lines.withColumn("pos", F.row_number().over(Window.partitionBy("image").orderBy("a", "b")))
+    p, g = placed.select("image", "pos", F.col("p_cat").alias("cat"), F.col("p_box").alias("box")), placed
+    for how in M.HOW:
+        for same in (True, False):
+            m = M.match(p, g, 0.2, how, same)
+            wanted = sorted(map(tuple, m.join(g.selectExpr("image", "pos AS g", "size"), ["image", "g"]).select("image", "p", "g", "iou", "same", "size").collect()))
+            found = M.match_lines(M.dealt(lines), ("a", "b"), 0.2, how, same, of_truth=("size",))
+            assert sorted(map(tuple, found.collect())) == wanted and len(wanted) > 20
+
+
+@pytest.mark.parametrize("name", ["metrics_per_category"])
+def test_lines_of_a_drawing_are_dealt_once_and_not_sorted_by_spark(spark, name):
+    """Each side was ranked by a window over its own sort, and matches were joined to the boxes again."""
+    from planquarry.plans import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("REPARTITION_BY") == 1 and "l_linenumber" in plan
+    assert "hashpartitioning(image" not in plan.replace("REPARTITION_BY", "") or plan.count("hashpartitioning(image") == plan.count("REPARTITION_BY")
+
+
+@pytest.mark.parametrize("how", ["label", "prediction", "truth"])
+def test_turns_whose_partners_are_all_taken_are_passed_over(how):
+    """512 turns take one box; those of the next 600 that overlap it find no other, and 20 boxes elsewhere stay free."""
+    from planquarry.operators import crowded
+
+    first, near = np.array([[0.0, 0, 40, 40]]), np.array([[1.0, 1, 41, 41]])
+    far = np.arange(1, 21)[:, None] * 1000 + first
+    many, few = np.concatenate([first.repeat(512, 0), near.repeat(600, 0)]), np.concatenate([first, far])
+    p, g = (few, many) if how == "truth" else (many, few)
+    if how == "truth":
+        p = p[::-1]
+    cats = [np.zeros(len(z), int) for z in (p, g)]
+    found = crowded.choose(p, g, *cats, *[c == 0 for c in cats], 0.4, False, False, how)
+    iou = M._overlaps(p, g)
+    assert sorted(found) == sorted(M._choose(iou, iou >= 0.4, np.ones(iou.shape, bool), how)) and len(found) == 1
