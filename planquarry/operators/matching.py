@@ -121,14 +121,15 @@ def match(predicted: DataFrame, truth: DataFrame, threshold: float, how: str = "
 
 
 # Bytes of input, as Spark estimates them, that are dealt to one task.
-DEALT = 4 << 20
+DEALT = 2 << 20
 
 
 def dealt(rows: DataFrame, key: str = "image") -> DataFrame:
-    """Rows dealt by key to as many tasks as their size asks for, at least the session's number: what a task sorts and holds does not
-    grow with the input."""
+    """Rows dealt by key to as many tasks as their size asks for, at least the session's number, and sorted by it: what a task sorts
+    and holds does not grow with the input, and columns that are added later are not sorted."""
     size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // DEALT, 1 << 14)), key)
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // DEALT, 1 << 14))
+    return rows.repartition(parts, key).sortWithinPartitions(key)
 
 
 def _ranked(rows: pa.Table, order: tuple[str, ...]) -> pa.Table:
