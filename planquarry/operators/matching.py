@@ -144,17 +144,14 @@ def _ranked(rows: pa.Table, order: tuple[str, ...]) -> pa.Table:
     return rows.take(pc.sort_indices(pa.table(keys), sort_keys=[(k, "ascending") for k in keys], null_placement="at_start"))
 
 
-def match_lines(
-    lines: DataFrame, order: tuple[str, ...], threshold: float, how: str = "greedy", same_category: bool = True, strict: bool = False, of_truth: tuple[str, ...] = (), of_predicted: tuple[str, ...] = ()
-) -> DataFrame:
-    """`match` of drawings whose true and predicted boxes lie side by side: lines (image, cat, box, p_cat, p_box), a side's box null
-    where it is missing. The position of either side is the line's rank by `order` in its image, from 1. Spark does not sort a
-    drawing's lines; lines from `dealt` are not dealt again. of_truth and of_predicted name columns that matched rows bring along."""
+def _each_drawing(lines: DataFrame, order: tuple[str, ...], threshold: float, how: str, same_category: bool, strict: bool, carried: tuple[str, ...], made, schema: str) -> DataFrame:
+    """What `made` finds in each drawing: it gets the ranked lines, the numbers of the lines with either side, the matched rows of these,
+    their overlaps, and the codes of both sides' categories, which of them are not null, and the categories of the codes."""
     if how not in HOW:
         raise ValueError(f"unknown order of choice: {how}")
-    types, most = dict(lines.dtypes), MATRIX
+    most = MATRIX
     sides = ("p_box", "p_cat"), ("box", "cat")
-    names = list(dict.fromkeys(["image", *order, "cat", "p_cat", *of_truth, *of_predicted]))
+    names = list(dict.fromkeys(["image", *order, "cat", "p_cat", *carried]))
     corners = [F.col(box)[i].cast("double").alias(f"{box}{i}") for box, _ in sides for i in range(4)]
     there = [F.col(box).isNotNull().alias(f"{box}?") for box, _ in sides]
 
@@ -164,17 +161,52 @@ def match_lines(
         a, b = (np.stack([rows[f"{box}{i}"].to_numpy()[k] for i in range(4)], 1) for k, (box, _) in zip(at, sides))
         both = [rows[cat].take(pa.array(k)) for k, (_, cat) in zip(at, sides)]
         known = [pc.is_valid(x).to_numpy() for x in both]
-        codes, _ = pd.factorize(pd.concat([x.to_pandas() for x in both]), use_na_sentinel=False)
+        codes, kinds = pd.factorize(pd.concat([x.to_pandas() for x in both]), use_na_sentinel=False)
         cats = [codes[: len(a)], codes[len(a) :]]
         u, v = _chosen(a, b, cats, known, threshold, how, same_category, strict, most)
-        p, g = (k[x] for k, x in zip(at, (u, v)))
-        out = {"image": rows["image"].take(pa.array(p)), "p": pa.array(p + 1, pa.int32()), "g": pa.array(g + 1, pa.int32()), "iou": _paired(a[u], b[v]), "same": cats[0][u] == cats[1][v]}
+        return made(rows, at, (u, v), _paired(a[u], b[v]), cats, known, kinds)
+
+    return lines.select(*names, *corners, *there).groupBy("image").applyInArrow(one, schema)
+
+
+def match_lines(
+    lines: DataFrame, order: tuple[str, ...], threshold: float, how: str = "greedy", same_category: bool = True, strict: bool = False, of_truth: tuple[str, ...] = (), of_predicted: tuple[str, ...] = ()
+) -> DataFrame:
+    """`match` of drawings whose true and predicted boxes lie side by side: lines (image, cat, box, p_cat, p_box), a side's box null
+    where it is missing. The position of either side is the line's rank by `order` in its image, from 1. Spark does not sort a
+    drawing's lines; lines from `dealt` are not dealt again. of_truth and of_predicted name columns that matched rows bring along."""
+    types = dict(lines.dtypes)
+
+    def made(rows, at, chosen, iou, cats, known, kinds):
+        p, g = (k[x] for k, x in zip(at, chosen))
+        out = {"image": rows["image"].take(pa.array(p)), "p": pa.array(p + 1, pa.int32()), "g": pa.array(g + 1, pa.int32()), "iou": iou, "same": cats[0][chosen[0]] == cats[1][chosen[1]]}
         out |= {c: rows[c].take(pa.array(k)) for k, carried in ((g, of_truth), (p, of_predicted)) for c in carried}
         return pa.table(out)
 
-    flat = lines.select(*names, *corners, *there)
     carried = "".join(f", {c} {types[c]}" for c in (*of_truth, *of_predicted))
-    return flat.groupBy("image").applyInArrow(one, f"image {types['image']}, p int, g int, iou double, same boolean{carried}")
+    schema = f"image {types['image']}, p int, g int, iou double, same boolean{carried}"
+    return _each_drawing(lines, order, threshold, how, same_category, strict, (*of_truth, *of_predicted), made, schema)
+
+
+def line_counts(lines: DataFrame, order: tuple[str, ...], threshold: float, how: str = "greedy", same_category: bool = True, strict: bool = False) -> DataFrame:
+    """`counts` of `match_lines` per category `cat`, added up where a drawing is matched: its lines are read once, and no matched row
+    leaves it. Rows without category are misses, those of either side in a row of their own."""
+
+    def made(rows, at, chosen, iou, cats, known, kinds):
+        n = [np.bincount(c, minlength=len(kinds)) for c in cats]
+        of = cats[1][chosen[1]]
+        good = (cats[0][chosen[0]] == of) & known[1][chosen[1]]
+        tp, total = np.bincount(of[good], minlength=len(kinds)), np.bincount(of[good], iou[good], len(kinds))
+        none = np.zeros(len(kinds), np.int64)
+        sides = [(kinds[x > 0], np.full((x > 0).sum(), truth), x[x > 0], hits[x > 0], sums[x > 0]) for truth, x, hits, sums in ((True, n[1], tp, total), (False, n[0], none, none * 0.0))]
+        kind, *rest = (np.concatenate(x) for x in zip(*sides))
+        return pa.table({"cat": pa.array(kind, rows["cat"].type, from_pandas=True), **dict(zip(("truth", "n", "tp", "iou_sum"), map(pa.array, rest)))})
+
+    parts = _each_drawing(lines, order, threshold, how, same_category, strict, (), made, f"cat {dict(lines.dtypes)['cat']}, truth boolean, n long, tp long, iou_sum double")
+    side = F.when(F.col("cat").isNull(), F.col("truth"))
+    n_p, n_g = (F.sum(F.when(F.col("truth") == t, F.col("n")).otherwise(0)) for t in (False, True))
+    tp = F.sum("tp")
+    return parts.groupBy("cat", side.alias("side")).agg(tp.alias("tp"), (n_p - tp).alias("fp"), (n_g - tp).alias("fn"), F.sum("iou_sum").alias("iou_sum")).drop("side")
 
 
 def candidates(predicted: DataFrame, truth: DataFrame, threshold: float, same_category: bool = True, strict: bool = False) -> DataFrame:

@@ -151,3 +151,28 @@ def test_turns_whose_partners_are_all_taken_are_passed_over(how):
     found = crowded.choose(p, g, *cats, *[c == 0 for c in cats], 0.4, False, False, how)
     iou = M._overlaps(p, g)
     assert sorted(found) == sorted(M._choose(iou, iou >= 0.4, np.ones(iou.shape, bool), how)) and len(found) == 1
+
+
+def test_counts_of_lines_are_those_of_their_matches(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    lines = _lines(spark, np.random.default_rng(9), 5, 60).cache()
+    placed = lines.withColumn("pos", F.row_number().over(Window.partitionBy("image").orderBy("a", "b")))
+    predicted = placed.where("p_box IS NOT NULL").selectExpr("image", "pos", "p_cat AS cat", "p_box AS box")
+    truth = placed.where("box IS NOT NULL").select("image", "pos", "cat", "box")
+    seen = lambda df: sorted(((r.cat, r.tp, r.fp, r.fn, round(r.iou_sum, 9)) for r in df.select("cat", "tp", "fp", "fn", "iou_sum").collect()), key=str)
+    for same in (True, False):
+        matches = M.match_lines(lines, ("a", "b"), 0.2, same_category=same)
+        assert seen(M.line_counts(lines, ("a", "b"), 0.2, same_category=same)) == seen(M.counts(predicted, truth, matches))
+
+
+@pytest.mark.parametrize("name", ["metrics_per_category", "metrics_summary", "metrics_summary_true_categories", "stats_merged_from_parts"])
+def test_metrics_read_their_lines_once(spark, name):
+    """No table beside the matching: an executor's heap grew with the matched rows and with two more scans."""
+    from planquarry.plans import registry
+
+    query = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = query._jdf.queryExecution().optimizedPlan().toString()
+    times = 2 if name == "stats_merged_from_parts" else 1  # its second part is the first one's exchange again
+    assert plan.count("parquet") == times and "Join" not in plan
