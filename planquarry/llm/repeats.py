@@ -341,7 +341,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     filters = spark.sparkContext.broadcast((bloom_filter(counted, "key", counted.count()), bloom_filter(often, "key", often.count())))
 
     def dealt_from(found):
-        """Segments by key, of equal ones in a task the first only; the others repeat and are sent as such (part -1)."""
+        """Segments by key, of equal ones in a task the first only; the others repeat and are sent as such (part below 0). Batches that
+        are ready pass through."""
         held, size = [], 0
 
         def flush():
@@ -361,6 +362,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield _send(parts, {k: c[k][firsts] for k, _ in _FIELDS})
 
         for c in found:
+            if isinstance(c, pa.RecordBatch):
+                yield c
+                continue
             held.append(c)
             size += len(c["key"])
             if size > HELD:
@@ -401,43 +405,48 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(_place(c).view(np.int64))], ["place"])
 
     counts = {r.kind: r["count"] for r in settled.groupBy("kind").count().collect()}
+    any_dense = bool(counts.get(2))
     of_kind = lambda kind: settled.where(F.col("kind") == kind).select("doc_id", "mark", "lo").mapInArrow(places, "place long")
     chosen, dense = (spark.sparkContext.broadcast(bloom_filter(of_kind(k), "place", counts.get(k, 0))) for k in (1, 2))
 
+    whole = ["part", "body", *(k for k, _ in _FIELDS)]
+
+    def body(c, data, lo, fine):
+        part = (c["key"][fine] >> _U(40)).astype(np.int64) * parts >> 24
+        fine = fine[np.argsort(part, kind="stable")]
+        part = np.sort(part)
+        cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+        texts = [data[a : a + n].tobytes() for a, n in zip(lo[fine].tolist(), (c["span"][fine].astype(np.int64) + length).tolist())]
+        rows = [(int(part[i]), b"".join(texts[i:j]), *(c[k][fine[i:j]].tobytes() for k, _ in _FIELDS)) for i, j in zip(cut[:-1], cut[1:])]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array(list(x), pa.binary()) for x in list(zip(*rows))[1:])], whole)
+
     @frugal
 
-    def windows(batches):
+    def left(batches):
+        """Bodies of chosen segments (part from 0) and windows of crowded ones (part from `parts`, or below 0), in one pass over the texts."""
+
         def found():
             for c, (data, lo) in _segments(batches, length, *filters.value):
-                rows = np.flatnonzero(in_filter(*dense.value, _place(c)))
+                place = _place(c)
+                rows = np.flatnonzero(in_filter(*chosen.value, place))
+                if len(rows):
+                    yield body(c, data, lo, rows)
+                rows = np.flatnonzero(in_filter(*dense.value, place)) if any_dense else rows[:0]
                 # A block may hold many such windows: they are held in parts.
                 for at in range(0, len(rows), 2000):
                     yield _windows(c, rows[at : at + 2000], data, lo, length)
 
-        yield from dealt_from(found())
-
-    @frugal
-
-    def bodies(batches):
-        several, frequent = filters.value
-        for c, (data, lo) in _segments(batches, length, several, frequent):
-            fine = np.flatnonzero(in_filter(*chosen.value, _place(c)))
-            if not len(fine):
-                continue
-            part = (c["key"][fine] >> _U(40)).astype(np.int64) * parts >> 24
-            fine = fine[np.argsort(part, kind="stable")]
-            part = np.sort(part)
-            cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
-            texts = [data[a : a + n].tobytes() for a, n in zip(lo[fine].tolist(), (c["span"][fine].astype(np.int64) + length).tolist())]
-            rows = [(int(part[i]), b"".join(texts[i:j]), *(c[k][fine[i:j]].tobytes() for k, _ in _FIELDS)) for i, j in zip(cut[:-1], cut[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), *(pa.array(list(x), pa.binary()) for x in list(zip(*rows))[1:])],
-                ["part", "body", *(k for k, _ in _FIELDS)],
-            )
+        for b in dealt_from(found()):
+            if b.num_columns < len(whole):
+                part = b.column(0).to_numpy()
+                b = pa.RecordBatch.from_arrays([pa.array(np.where(part < 0, part, part + parts).astype(np.int32)), pa.nulls(len(part), pa.binary()), *b.columns[1:]], whole)
+            yield b
 
     @frugal_group
 
     def expand(key, rows):
+        if not 0 <= key[0].as_py() < parts:
+            return settle(key, rows)
         c = _received(rows, _FIELDS)
         sizes = c["span"].astype(np.int64) + length
         joined = b"".join(rows.column("body").to_pylist())
@@ -466,12 +475,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append(_spans({**{k: v[rows_] for k, v in c.items()}, "lo": c["lo"][rows_] + inside[first], "span": inside[last] - inside[first]}, np.arange(len(first)), 0))
         return pa.Table.from_batches(out) if out else pa.Table.from_batches([_spans(c, np.arange(0), 0)])
 
-    sent = docs.mapInArrow(bodies, f"part int, body binary, {fields}")
+    sent = docs.mapInArrow(left, f"part int, body binary, {fields}")
     expanded = written(sent.groupBy("part").applyInArrow(expand, _SPANS), "repeats")
-    out = settled.where("kind = 0").unionByName(expanded)
-    if counts.get(2):
-        single = docs.mapInArrow(windows, f"part int, {fields}").groupBy("part").applyInArrow(settle, _SPANS)
-        out = out.unionByName(written(single, "repeats").where("kind = 0"))
+    out = settled.where("kind = 0").unionByName(expanded.where("kind = 0"))
     for held in (filters, chosen, dense):
         held.destroy()
     return out.select("doc_id", "mark", "lo", "span")

@@ -350,6 +350,23 @@ def test_repeats_match_brute_force(spark, tmp_path, frequent, crowd, monkeypatch
     assert got == cut_by_hand(rows)
 
 
+def test_repeats_pass_over_texts_three_times(spark, monkeypatch):
+    """Anchors, segments, and what is left of both kinds together: windows of crowded anchors had a pass of their own."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    passes, run = [], DataFrame.mapInArrow
+
+    def seen(self, f, *rest):
+        if "text" in self.columns:
+            passes.append(f.__name__)
+        return run(self, f, *rest)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", seen)
+    monkeypatch.setattr(repeats, "CROWD", 1)
+    rows = documents(near=40, passage=40)
+    assert repeats.repeated_spans(repeats.with_marks(frame(spark, rows))).count() > 0 and len(passes) == 3
+
+
 def test_repeats_empty_and_repeated(spark):
     assert repeats.cut_repeats(frame(spark, [])).count() == 0
     # The text has a period of 26, so it repeats inside itself; equal rows of one id are one document.
