@@ -120,15 +120,19 @@ def match(predicted: DataFrame, truth: DataFrame, threshold: float, how: str = "
     return grouped.applyInPandas(one, f"image {kind}, p int, g int, iou double, same boolean")
 
 
-# Bytes of input, as Spark estimates them, that are dealt to one task.
-DEALT = 2 << 20
+# Bytes of input, as Spark estimates them, that are dealt to one task, and to which this grows before there are more tasks than
+# Spark writes a file each for.
+DEALT, DEALT_AT_MOST = 2 << 20, 16 << 20
 
 
 def dealt(rows: DataFrame, key: str = "image") -> DataFrame:
     """Rows dealt by key to as many tasks as their size asks for, at least the session's number, and sorted by it: what a task sorts
     and holds does not grow with the input, and columns that are added later are not sorted."""
     size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // DEALT, 1 << 14))
+    conf = rows.sparkSession.conf
+    # With more tasks than this Spark's writers hold a split's rows in memory, as many as fit, before they write any.
+    straight = int(conf.get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    parts = max(int(conf.get("spark.sql.shuffle.partitions")), min(size // DEALT, max(straight, size // DEALT_AT_MOST), 1 << 14))
     return rows.repartition(parts, key).sortWithinPartitions(key)
 
 

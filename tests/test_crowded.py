@@ -176,3 +176,11 @@ def test_metrics_read_their_lines_once(spark, name):
     plan = query._jdf.queryExecution().optimizedPlan().toString()
     times = 2 if name == "stats_merged_from_parts" else 1  # its second part is the first one's exchange again
     assert plan.count("parquet") == times and "Join" not in plan
+
+
+@pytest.mark.parametrize("mb, tasks", [(0, 4), (100, 50), (2000, 200), (3000, 200), (6400, 400), (10**6, 1 << 14)])
+def test_lines_are_dealt_by_writers_that_hold_no_rows(spark, mb, tasks):
+    """Up to 200 tasks rows go straight to files; beyond them a writer fills an executor's memory with a split's rows, so tasks grow first."""
+    rows = spark.range(mb << 17).selectExpr("id AS image")
+    plan = M.dealt(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [image#" in plan and f"], {tasks}" in plan
