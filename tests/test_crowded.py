@@ -184,3 +184,13 @@ def test_lines_are_dealt_by_writers_that_hold_no_rows(spark, mb, tasks):
     rows = spark.range(mb << 17).selectExpr("id AS image")
     plan = M.dealt(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [image#" in plan and f"], {tasks}" in plan
+
+
+@pytest.mark.parametrize("name", ["metrics_summary", "metrics_summary_true_categories"])
+def test_summaries_deal_large_tables_by_writers_that_hold_no_rows(spark, monkeypatch, name):
+    """The query itself asks for 200 tasks where its lines alone, at so many bytes a task, would ask for far more."""
+    from planquarry.plans import registry
+
+    monkeypatch.setattr(M, "DEALT", 1)
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "], 200" in plan
